@@ -24,7 +24,7 @@ def _ids(found: list[int]) -> bytes:
 
 def _table(path: str) -> PreTokens:
     if path not in _TABLES:
-        _TABLES[path] = PreTokens(path, _ids)
+        _TABLES[path] = PreTokens(path, _ids, b"".join)
     return _TABLES[path]
 
 
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
             for row, text in enumerate(as_texts(batch.column(1))):
-                ids = b"".join([*table.values(text), end])
+                ids = table.of(text) + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), id_col, "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
     kind = dict(docs.dtypes)[id_col]
 
-    def place(key, rows: pa.Table) -> pa.Table:
+    def place(key, rows):
         lengths, starts, sums = (rows[c].to_numpy() for c in ("length", "start", "ids_crc32"))
         order = np.lexsort((sums, starts, -lengths))
         bins, offsets = np.empty_like(lengths), np.empty_like(lengths)

@@ -14,7 +14,7 @@ _TABLES: dict[str, PreTokens] = {}
 
 def _table(path: str, frequent: dict[str, int]) -> PreTokens:
     if path not in _TABLES:
-        _TABLES[path] = PreTokens(path, len, frequent)
+        _TABLES[path] = PreTokens(path, len, sum, frequent)
     return _TABLES[path]
 
 
@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
         table = _table(tokenizer, frequent.value)
         for batch in batches:
             texts = as_texts(batch.column(1))
-            tokens = [sum(table.values(t)) for t in texts]
+            tokens = [table.of(t) for t in texts]
             n_bytes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             yield batch_of(
                 (id_col, "n_bytes", "n_tokens", "over_limit"),
