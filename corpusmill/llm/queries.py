@@ -24,6 +24,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_packing)}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_token_counts, op2_packing, op4_license_scan, op7_quality, op8_mixing)
+}
 
 ORACLES: dict[str, str] = {}
