@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.simhash import simhash_groups
+
+    found = simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, reach=2, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.quality import quality
 
@@ -42,8 +50,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.embeddings import cosine_components
+
+    return cosine_components(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_packing, op4_license_scan, op7_quality, op8_mixing)
+    f.__name__: f for f in (op1_token_counts, op2_packing, op4_license_scan, op6_simhash, op7_quality, op8_mixing, op10_embeddings)
 }
 
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,10 @@ WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _AT_SPACE = regex.compile(r" (?=\S)")
 _WIDE_SPACE = regex.compile(r" (?:\s|$)")
 _PLAIN = re.compile(r"[A-Za-z]+")
+_STOPS = ".,;:!?"
+
+#: Most texts have no character outside these few ranges, none of them unsafe; only others need the long table.
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-\u0377\u2010-\u2027\u20a0-\u20bf]")
 
 _UNSAFE: re.Pattern | None = None
 
@@ -76,17 +80,31 @@ class PreTokens(dict):
         self.known = len(self)
         self.unsafe = unsafe_characters()
         self.letters = _byte_letters()
+        self.stops: dict = {}
+
+    def ids(self, token: str) -> list[int]:
+        """Of one pre-token, by the library's model."""
+        letters = token if _PLAIN.fullmatch(token) else token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def merged(self, piece: str):
         """Of one piece, by the pattern and the library's model."""
-        ids = []
-        for token in self.pattern.findall(piece):
-            letters = token if _PLAIN.fullmatch(token) else token.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(letters)]
-        return self.value(ids)
+        return self.value([i for token in self.pattern.findall(piece) for i in self.ids(token)])
 
     def __missing__(self, piece: str):
-        out = self.merged(piece if self.words else " " + piece)
+        lead = "" if self.words else " "
+        core = piece.rstrip(_STOPS)
+        if piece.isalpha():  # one pre-token, as letters are what \p{L} matches
+            out = self.value(self.ids(lead + piece))
+        elif core.isalpha() and len(core) <= CACHE_LENGTH:  # letters, then a run of other marks: two
+            stops = piece[len(core) :]
+            if stops not in self.stops:
+                self.stops[stops] = self.merged(stops)
+                if len(self.stops) > 1000:
+                    self.stops = {stops: self.stops[stops]}
+            out = self.join([self[core], self.stops[stops]])
+        else:
+            out = self.merged(lead + piece)
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= self.known + CACHE_ENTRIES:
                 for key in list(self)[self.known :]:
@@ -96,7 +114,7 @@ class PreTokens(dict):
 
     def of(self, text: str):
         """The value of a whole text."""
-        if self.unsafe.search(text):
+        if _UNUSUAL.search(text) and self.unsafe.search(text):
             return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if "<|" not in text or self.at_specials is None:
             return self.join(self.pieces(text))
