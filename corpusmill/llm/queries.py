@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.line_dedup import boilerplate_sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +33,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.syncmers import fingerprint_neighbours
+
+    return fingerprint_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.simhash import simhash_groups
 
@@ -50,6 +58,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.line_dedup import drop_boilerplate
+
+    return drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.embeddings import cosine_components
 
@@ -57,7 +71,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_packing, op4_license_scan, op6_simhash, op7_quality, op8_mixing, op10_embeddings)
+    f.__name__: f for f in (op1_token_counts, op2_packing, op4_license_scan, op5_fingerprints, op6_simhash, op7_quality, op8_mixing, op9_line_dedup, op10_embeddings)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_dedup": boilerplate_sql()}
