@@ -27,6 +27,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.language_model import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.license_scan import license_scan
 
@@ -71,7 +77,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_packing, op4_license_scan, op5_fingerprints, op6_simhash, op7_quality, op8_mixing, op9_line_dedup, op10_embeddings)
+    f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_model, op4_license_scan, op5_fingerprints, op6_simhash, op7_quality, op8_mixing, op9_line_dedup, op10_embeddings)
 }
 
 ORACLES: dict[str, str] = {"op9_line_dedup": boilerplate_sql()}
