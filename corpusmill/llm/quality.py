@@ -9,13 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import as_bytes, batch_of, require, small_batches
 
 #: Bounds on the sample that the model is fitted on: trusted positives, and unlabelled texts.
-MAX_POSITIVE, MAX_UNLABELLED = 15_000, 15_000
+MAX_POSITIVE, MAX_UNLABELLED = 10_000, 10_000
 
 BUCKETS = 1 << 14
 _LETTERS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0x80)
@@ -82,30 +83,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[bool, list[float], list[int], list[float]]], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def fit(rows: pa.Table, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Minimise ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` of the logistic loss, by Adam over all rows.
 
-    Where the second part is below 0 the step goes up its gradient, as the method has it. With no
-    positive or no unlabelled row the model is the prior alone.
+    ``rows(positive, dense, index, value)``. Where the second part is below 0 the step goes up its
+    gradient, as the method has it. With no positive or no unlabelled row the model is the prior alone.
     """
-    positive = np.array([r[0] for r in rows], bool)
+    positive = rows["positive"].to_numpy().astype(bool)
     if positive.all() or not positive.any():
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(DENSE), np.ones(DENSE), np.zeros(DENSE), np.zeros(BUCKETS), math.log(p / (1 - p)))
-    x = np.array([r[1] for r in rows])
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+    x = flat("dense").reshape(-1, DENSE)
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     x = (x - mean) / scale
-    lengths = np.array([len(r[2]) for r in rows])
-    index = np.concatenate([np.asarray(r[2], np.int32) for r in rows])
-    value = np.concatenate([np.asarray(r[3], np.float32) for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    index, value = flat("index"), flat("value")
+    owner = np.repeat(np.arange(len(positive), dtype=np.int32), pc.list_value_length(rows["index"]).to_numpy())
     n_p, n_u = positive.sum(), (~positive).sum()
     theta = np.zeros(DENSE + BUCKETS + 1)
     theta[-1] = math.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = x @ theta[:DENSE] + np.bincount(owner, value * theta[DENSE + index], len(rows)) + theta[-1]
+        z = x @ theta[:DENSE] + np.bincount(owner, value * theta[DENSE + index], len(positive)) + theta[-1]
         s = _sigmoid(z)
         down = np.logaddexp(0, z)  # loss of calling a row negative
         rest = down[~positive].mean() - prior * down[positive].mean()
@@ -146,15 +146,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def extract(batches):
         for batch in batches:
             found = [features(t) for t in as_bytes(batch.column(0))]
-            yield batch_of(("positive", "dense", "index", "value"), (pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float32())), (batch.column(1), *map(list, zip(*found, strict=True))) if found else ([], [], [], []))
+            types = (pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield batch_of(("positive", "key", "dense", "index", "value"), types, (batch.column(1), batch.column(2), *(map(list, zip(*found, strict=True)) if found else ([], [], []))))
 
     # both samples are bounded, so broadcasting their ids is
     sample = F.broadcast(positive.unionByName(free))
-    chosen = docs.select(id_col, text_col).join(sample, id_col).select(text_col, "positive")
-    rows = chosen.mapInArrow(extract, "positive boolean, dense array<double>, index array<int>, value array<float>").toArrow()
-    parts = (rows.column(c).to_pylist() for c in ("positive", "dense", "index", "value"))
+    chosen = docs.select(id_col, text_col).join(sample, id_col).select(text_col, "positive", F.xxhash64(F.lit(73), id_col, text_col).alias("key"))
+    rows = chosen.mapInArrow(extract, "positive boolean, key long, dense array<double>, index array<int>, value array<float>").toArrow()
     # in an order of their own, as sums of floating-point numbers follow it
-    return fit(sorted(zip(*parts, strict=True), key=lambda r: (r[0], r[1], r[2][:8])), prior)
+    order = np.lexsort((rows["key"].to_numpy(), rows["positive"].to_numpy()))
+    return fit(rows.take(pa.array(order)), prior)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
