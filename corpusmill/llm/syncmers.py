@@ -27,22 +27,26 @@ def _anchors(text: str) -> list[tuple[str, str]]:
         ("__g", "transform(__w, (x, i) -> xxhash64(x, get(__w, i + 1)))"),
         ("__s", "transform(__g, (x, i) -> if(i + 4 < size(__w) and least(x, get(__g, i + 3)) <= least(get(__g, i + 1), get(__g, i + 2)), shiftrightunsigned(xxhash64(x, get(__g, i + 1), get(__g, i + 2), get(__g, i + 3)), 16), cast(null as bigint)))"),
         ("__d", "array_compact(array_distinct(__s))"),
-        ("__a", f"if(size(__d) = 0, array(shiftrightunsigned(xxhash64({text}), 16)), slice(array_sort(__d), 1, {ANCHORS}))"),
-        ("__p", "transform(__a, a -> greatest(array_position(__s, a), 1) - 1)"),
+        ("__a", f"if(size(__d) = 0, array(shiftrightunsigned(xxhash64({text}), 16)), slice(sort_array(__d), 1, {ANCHORS}))"),
+        ("__p", "cast(transform(__a, a -> greatest(array_position(__s, a), 1) - 1) as array<bigint>)"),
     ]
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: a struct of the least anchors ``a`` and the place of the first of each, ``p``."""
+    """Add ``{name}_a``, the least anchors, and ``{name}_p``, the place of the first of each.
+
+    They are columns and no struct: the optimizer would put a struct's parts where they are read, and
+    inside a lambda work them out again for every element.
+    """
     kept = df.columns
     for column, sql in _anchors(text):
         df = df.withColumn(column, F.expr(sql))
-    return df.select(*kept, F.struct(F.col("__a").alias("a"), F.col("__p").cast("array<bigint>").alias("p")).alias(name))
+    return df.select(*kept, F.col("__a").alias(f"{name}_a"), F.col("__p").alias(f"{name}_p"))
 
 
 def printed(name: str) -> Column:
     """Fingerprint as text: hexadecimal anchor and place of each, least first."""
-    return F.expr(f"array_join(transform({name}.a, (a, i) -> concat(lpad(lower(hex(a)), 12, '0'), '@', get({name}.p, i))), ' ')")
+    return F.expr(f"array_join(zip_with({name}_a, {name}_p, (a, p) -> concat(lpad(lower(hex(a)), 12, '0'), '@', p)), ' ')")
 
 
 def likeness(x: str, y: str) -> Column:
@@ -51,11 +55,11 @@ def likeness(x: str, y: str) -> Column:
     The places of a common anchor give its shift from one text to the other; the anchors that agree
     on a shift, by ``DRIFT`` words or less, are the match.
     """
-    union = f"slice(array_sort(array_union({x}.a, {y}.a)), 1, {ANCHORS})"
-    common = f"array_intersect(array_intersect({x}.a, {y}.a), {union})"
-    shifts = f"transform({common}, h -> get({y}.p, cast(array_position({y}.a, h) as int) - 1) - get({x}.p, cast(array_position({x}.a, h) as int) - 1))"
+    union = f"slice(sort_array(array_union({x}_a, {y}_a)), 1, {ANCHORS})"
+    common = f"array_intersect(array_intersect({x}_a, {y}_a), {union})"
+    shifts = f"transform({common}, h -> get({y}_p, cast(array_position({y}_a, h) as int) - 1) - get({x}_p, cast(array_position({x}_a, h) as int) - 1))"
     best = f"coalesce(array_max(transform(array({shifts}), d -> array_max(transform(d, e -> size(filter(d, f -> abs(f - e) <= {DRIFT})))))), 0)"
-    return F.expr(f"case when {x}.a = {y}.a and {x}.p = {y}.p then 1D when not arrays_overlap({x}.a, {y}.a) then 0D else {best} / size({union}) end")
+    return F.expr(f"case when {x}_a = {y}_a and {x}_p = {y}_p then 1D when not arrays_overlap({x}_a, {y}_a) then 0D else {best} / size({union}) end")
 
 
 def _bucket(id_col: str, bounds: list[int]) -> Column:
@@ -113,10 +117,10 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     require(docs, id=id_col, text=text_col)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_next(with_anchors(own, "text", "own"), ["text", "own"], "id")
+    own = with_next(with_anchors(own, "text", "own"), ["text", "own_a", "own_p"], "id")
     own = own.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = own.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(next.text, 1, cut)")))
-    edited = with_anchors(edited.select("id", "n_chars", "own", F.col("next.own").alias("after"), "edited"), "edited", "other")
+    edited = with_anchors(edited.select("id", "n_chars", "own_a", "own_p", F.col("next.own_a").alias("after_a"), F.col("next.own_p").alias("after_p"), "edited"), "edited", "other")
     return edited.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("own").alias("fingerprint"), printed("other").alias("edited_fingerprint"),
         likeness("own", "other").alias("near_edited"), likeness("own", "after").alias("near_next"),
