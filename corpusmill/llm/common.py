@@ -52,15 +52,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that no later result reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/corpusmill-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def require(df: DataFrame, **kinds: str) -> None:
     """Name the columns that an operator needs; others may exist beside them and are not read."""
     missing = [c for c in kinds.values() if c not in df.columns]

@@ -114,18 +114,19 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
         if kept + n > COUNTED:
             break
         kept, least = kept + n, step
-    top = [] if least is None else counts.where(level >= least).collect()
-    top.sort(key=lambda r: (-r.c, bytes(r.word)))
-    words = [bytes(r.word) for r in top]
+    top = counts.where(level >= least if least is not None else F.lit(False)).toArrow()
+    c, words = top["c"].to_numpy().astype(np.float64), top["word"].to_pylist()
+    order = sorted(range(len(words)), key=lambda k: (-c[k], words[k]))
+    c, words = c[order], [words[k] for k in order]
     n_named = min(NAMED, len(words))
     sums = counts.groupBy((F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % ENDINGS).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     by_total, by_distinct = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in sums:
         by_total[r.e], by_distinct[r.e] = r.c, r.n
-    for r in top[:n_named]:
-        by_total[ending(bytes(r.word))] -= r.c
-        by_distinct[ending(bytes(r.word))] -= 1
-    return Vocabulary(words, np.array([r.c for r in top], np.float64), int(total), int(distinct), n_named, by_total, by_distinct)
+    for w, n in zip(words[:n_named], c, strict=False):
+        by_total[ending(w)] -= n
+        by_distinct[ending(w)] -= 1
+    return Vocabulary(words, c, int(total), int(distinct), n_named, by_total, by_distinct)
 
 
 @dataclass
