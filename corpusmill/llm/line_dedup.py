@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import require, written
@@ -13,15 +13,16 @@ LG_K = 10
 #: Estimates off the threshold by this share are not trusted either way (six standard errors).
 BAND = 0.2
 
-#: Rows up to which a side of line hashes is broadcast: 32 MB at most, from the count of a written table.
-BROADCAST_ROWS = 1_000_000
+#: Numbers up to which a written table of hashes is broadcast, over all its rows and arrays: some 16 MB.
+BROADCAST_NUMBERS = 1_000_000
 
 _LAST = (1 << 63) - 1
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of few rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, numbers: Column | int | None = None) -> DataFrame:
+    """Broadcast a written table that holds few numbers, by an exact sum over its rows; a larger one is joined by a shuffle."""
+    held = df.agg(F.coalesce(F.sum(F.lit(len(df.columns)) if numbers is None else numbers), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_NUMBERS else df
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -40,7 +41,7 @@ def line_spread(docs: DataFrame, min_sites: int, min_chars: int) -> tuple[DataFr
     sketches = _lines(docs, min_chars).groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("s"), F.min("id").alias("first"))
     near = sketches.select("line", "first", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= min_sites * (1 - BAND))
     near = written(near, "spread")
-    holds = written(_lines(docs, min_chars).join(_small(near.select("line")), "line"), "holders")
+    holds = written(_lines(docs, min_chars).join(small(near.select("line")), "line"), "holders")
     doubtful = near.where(F.col("sites") <= min_sites * (1 + BAND)).select("line")
     exact = holds.join(doubtful, "line").groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
     sure = near.where(F.col("sites") > min_sites * (1 + BAND)).select("line")
@@ -66,10 +67,10 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, i
     print_of = F.xxhash64(text)
     base = docs.select(ident.alias("id"), print_of.alias("fp"), F.xxhash64(F.lit(3), F.col(site_col)).alias("site"), text.alias("text"))
     lines, holds = line_spread(base, min_sites, min_chars)
-    gone = holds.join(_small(lines), "line").where("id <> first").groupBy("id", "fp").agg(F.collect_set("line").alias("__gone"))
+    gone = holds.join(small(lines), "line").where("id <> first").groupBy("id", "fp").agg(F.collect_set("line").alias("__gone"))
     gone = written(gone, "gone")
     rows = docs.withColumn("__id", ident).withColumn("__fp", print_of)
-    rows = rows.join(_small(gone).withColumnsRenamed({"id": "__id", "fp": "__fp"}), ["__id", "__fp"], "left").drop("__id", "__fp")
+    rows = rows.join(small(gone, F.size("__gone") + 2).withColumnsRenamed({"id": "__id", "fp": "__fp"}), ["__id", "__fp"], "left").drop("__id", "__fp")
     all_lines = F.split(text, "\n")
     left = F.when(F.col("__gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x)))))
     rows = rows.withColumn("__left", left)

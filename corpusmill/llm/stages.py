@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import written
-from corpusmill.llm.line_dedup import _small as small
-from corpusmill.llm.line_dedup import drop_boilerplate
+from corpusmill.llm.line_dedup import drop_boilerplate, small
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality import score_quality, train_quality

@@ -359,6 +359,14 @@ def test_line_dedup(spark, odd):
     assert drop_boilerplate(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    from corpusmill.llm import line_dedup
+
+    want = sorted(Q.op9_line_dedup(spark, SF).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_NUMBERS", -1)
+    assert sorted(Q.op9_line_dedup(spark, SF).collect()) == want
+
+
 def test_embeddings(spark):
     from corpusmill.llm.embeddings import cosine_components
 
