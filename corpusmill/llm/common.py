@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker; bounds its memory whatever the length of texts.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 #: `[^\x20\x09-\x0D]+` splits at these bytes, as ``bytes.split()`` does.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"

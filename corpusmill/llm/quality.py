@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import as_bytes, batch_of, require, small_batches
 
 #: Bounds on the sample that the model is fitted on: trusted positives, and unlabelled texts.
-MAX_POSITIVE, MAX_UNLABELLED = 10_000, 10_000
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 4_000
 
 BUCKETS = 1 << 14
 _LETTERS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0x80)
