@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,6 +21,9 @@ LEAF = 512
 
 _BLOCK = 1 << 16
 
+#: Sets of a block, and common shingles of two blocks that are counted at once.
+BLOCK_SETS, COUNTED_AT_ONCE = 128, 1 << 22
+
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles of a text, repeats included; 0 without words."""
@@ -252,6 +257,72 @@ def views_of(h: np.ndarray, views: int, sample: int) -> list[int]:
     return out
 
 
+def joined_across(x: list[np.ndarray], of_x: np.ndarray, y: list[np.ndarray], of_y: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of the components ``of_x`` and ``of_y`` that sets of at least ``similarity`` join, a forest of them, from all pairs of sets."""
+    sizes_x, sizes_y = np.array([len(h) for h in x]), np.array([len(h) for h in y])
+    flat, row = np.concatenate(y), np.repeat(np.arange(len(y)), sizes_y)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    common = np.zeros((len(x), len(y)), np.int64)
+    for i, h in enumerate(x):
+        low, high = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        n = high - low
+        ends = np.cumsum(n)
+        for start in range(0, int(ends[-1]) if len(ends) else 0, COUNTED_AT_ONCE):
+            at = np.arange(start, min(start + COUNTED_AT_ONCE, int(ends[-1])))
+            k = np.searchsorted(ends, at, "right")
+            common[i] += np.bincount(row[low[k] + at - (ends[k] - n[k])], minlength=len(y))
+    alike = (common >= similarity * (sizes_x[:, None] + sizes_y[None, :] - common)) & (of_x[:, None] != of_y[None, :])
+    names = np.unique(np.concatenate([of_x, of_y]))
+    forest, found = Forest(len(names)), []
+    for i, j in zip(*np.nonzero(alike), strict=True):
+        a, b = int(np.searchsorted(names, of_x[i])), int(np.searchsorted(names, of_y[j]))
+        if forest.root(a) != forest.root(b):
+            forest.join(a, b)
+            found.append((int(of_x[i]), int(of_y[j])))
+    return found
+
+
+def links_across(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` between components of which a bucket has sets that are alike: all pairs of two components are compared.
+
+    ``member``: ``root, cls, component``, the buckets; ``sets``: ``cls, s``. Buckets of one component
+    are settled. In others, each set that is not of the bucket's largest component meets all sets of
+    other components, in blocks by hash and by a class of size, as sets that are alike have sizes in
+    one class or in neighbouring ones. A task holds two blocks.
+    """
+    width = max(-math.log(similarity) * (1 + 1e-9), 1e-9)
+    parts = member.groupBy("root", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("root").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    open_ = open_.select("root", F.col("top.component").alias("largest"))
+    rows = member.join(open_, "root").join(sets, "cls")
+    rows = rows.select("root", "cls", "component", "s", (F.col("component") == F.col("largest")).alias("top"), F.floor(F.log(F.size("s")) / width).alias("level"))
+    rows = written(rows, "open")
+    blocks = rows.groupBy("root", "top", "level").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    named = rows.join(blocks, ["root", "top", "level"]).select("root", "cls", "component", "s", "top", "level", F.pmod(F.xxhash64("cls"), "blocks").alias("block"))
+    each = blocks.select("root", "top", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    x, y = each.where("not top").alias("x"), each.alias("y")
+    once = "y.top or x.level < y.level or (x.level = y.level and x.block <= y.block)"
+    met = x.join(y, "root").where(F.abs(F.col("x.level") - F.col("y.level")) <= 1).where(once)
+    key = [F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in ("top", "level", "block")]
+    met = written(met.select("root", *key), "met")
+    keys = met.columns
+
+    def side(t: str) -> DataFrame:
+        of = [F.col(c).alias(f"{t}_{c}") for c in ("top", "level", "block")]
+        return met.join(named.select("root", *of, "component", "s"), ["root", *(f"{t}_{c}" for c in ("top", "level", "block"))]).select(*keys, F.lit(t).alias("side"), "component", "s")
+
+    def compare(table):
+        found = {}
+        for t in "xy":
+            own = table.filter(pa.array([v == t for v in table["side"].to_pylist()]))
+            found[t] = [v.values.to_numpy() for v in own["s"]], own["component"].to_numpy()
+        links = joined_across(*found["x"], *found["y"], similarity) if found["x"][0] and found["y"][0] else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return side("x").union(side("y")).groupBy(*keys).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 8, sample: int = 3, reach: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose sets of word shingles chain by Jaccard similarities of at least ``similarity``.
 
@@ -260,8 +331,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     order puts first: two texts share these, and the fingerprint, with probability similarity to the
     power of ``sample``, and all views miss with under 0.4 per cent at 0.8. The fingerprints of all
     views go through the tree as in ``simhash_groups``; each member of a view's group is compared,
-    by exact sets, with one member that the view's order picks, so pairs grow with the members and
-    not with their square, and verified links chain.
+    by exact sets, with one member that the view's order picks. Verified links chain, and most groups
+    are one component then. In the others, all pairs of sets of two components are compared, in blocks
+    (``links_across``), so that no link between members of a group is missed.
 
     Returns ``id_col, component_id``, one row for each row of ``docs``. Texts of the same words, but
     for case, are one class; so are all without words, null ones too. A null id is never the least
@@ -299,7 +371,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     both = pairs.join(kept, "cls").withColumnRenamed("s", "x").join(kept.select(F.col("cls").alias("head"), F.col("s").alias("y")), "head")
     common = F.size(F.array_intersect("x", "y"))
     edges = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    components = durable(connected_components(edges)).withColumnRenamed("node", "cls")
+    first = durable(connected_components(edges)).select(F.col("node").alias("cls"), F.col("root").alias("component"))
+    grouped = written(member.select("cls", "root").distinct().join(kept.select("cls"), "cls").join(first, "cls", "left").select("root", "cls", F.coalesce("component", "cls").alias("component")), "grouped")
+    across = durable(connected_components(links_across(grouped, kept, similarity))).select(F.col("node").alias("component"), "root")
+    components = grouped.select("cls", "component").distinct().join(across, "component", "left").select("cls", F.coalesce("root", "component").alias("root"))
     named = classes.select("cls", "least").join(components, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "root").select("cls", "component_id")

@@ -268,6 +268,34 @@ def test_near_duplicates(spark, docs):
     assert all(got[i] in {order[r] for r in roots(len(order), pairs)} or got[i] == i for i in order)
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Copies are like their original and seldom like one another, so few buckets have a head that joins all."""
+    from corpusmill.llm.simhash import near_duplicates
+
+    random = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(135)]
+    texts = [" ".join(words)]
+    for k in range(2000):
+        copy = list(words)
+        for j in range(2):
+            copy[random.integers(4 + 66 * j, 65 + 66 * j)] = f"x{k}-{j}"
+        texts.append(" ".join(copy))
+    places = list(random.permutation(len(texts)))
+    rows = [(int(i), t) for i, t in zip(places, texts, strict=True)]
+    names = {}
+    has = np.zeros((len(rows), 135 + 2000 * 10), np.float32)
+    for i, t in rows:
+        w = t.split()
+        for g in {tuple(w[k : k + 5]) for k in range(len(w) - 4)}:
+            has[i, names.setdefault(g, len(names))] = 1
+    common, size = has @ has.T, has.sum(1)
+    near = common >= 0.8 * (size[:, None] + size[None, :] - common)
+    assert near.mean() < 0.1
+    want = roots(len(rows), [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a > b])
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_quality(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     from corpusmill.llm.quality import quality
