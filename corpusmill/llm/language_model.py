@@ -131,7 +131,10 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
 
 @dataclass
 class Model:
-    """Vectors of context words (the last is the start), of outputs, and biases."""
+    """Vectors of context words at each distance (the last of a distance is the start), of outputs, and biases.
+
+    The rows of ``context`` are those of the first distance, then those of the next.
+    """
 
     context: np.ndarray
     output: np.ndarray
@@ -151,7 +154,8 @@ class Model:
 
     @classmethod
     def of(cls, flat: np.ndarray, outputs: int) -> Model:
-        a, b = (outputs + 1) * WIDTH, (2 * outputs + 1) * WIDTH
+        a = len(DISTANCES) * (outputs + 1) * WIDTH
+        b = a + outputs * WIDTH
         return cls(flat[:a].reshape(-1, WIDTH), flat[a:b].reshape(-1, WIDTH), flat[b:])
 
 
@@ -159,7 +163,7 @@ def first_model(vocabulary: Vocabulary, seed: int) -> Model:
     random = np.random.default_rng(seed)
     n = vocabulary.outputs
     draw = lambda k: random.normal(0, 0.3, (k, WIDTH)).astype(np.float32)
-    return Model(draw(n + 1), draw(n) * 0.3, np.log(vocabulary.unigram()).astype(np.float32))
+    return Model(draw(len(DISTANCES) * (n + 1)), draw(n) * 0.3, np.log(vocabulary.unigram()).astype(np.float32))
 
 
 class Trainer:
@@ -205,11 +209,16 @@ def shifted(output: np.ndarray, distance: int, start: int) -> np.ndarray:
     return out
 
 
+def contexts(output: np.ndarray, start: int) -> np.ndarray:
+    """Row of the model's ``context`` for each distance and token: a distance a row."""
+    return np.stack([shifted(output, d, start).astype(np.int64) + k * (start + 1) for k, d in enumerate(DISTANCES)])
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3, rate: float = 0.2, text_col: str = "text") -> Model:
     """Train on every token of ``docs``: each task steps through its own, and the tasks' models are averaged by their tokens.
 
-    A round takes every ``ROUNDS``-th token of every text, each at one of the distances, so that in
-    all each token is a target once; each round starts at the mean of the last. Means are summed by
+    A round takes every token of every text with the words at all distances, so it is a whole pass;
+    each round starts at the mean of the last. Means are summed by
     blocks of parameters in two levels, so no task or driver holds one model a task.
     """
     spark = docs.sparkSession
@@ -241,12 +250,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3, rate: float =
             for batch in batches:
                 for text in as_bytes(batch.column(0)):
                     _, output = v.encode(tokens(text))
-                    at = np.arange(turn, len(output), ROUNDS)
-                    back = at - np.asarray(DISTANCES)[(at // ROUNDS) % len(DISTANCES)]
-                    held_c.append(np.where(back < 0, v.outputs, output[np.maximum(back, 0)]).astype(np.int64))
-                    held_t.append(output[at].astype(np.int64))
-                    held += len(at)
-                    seen += len(at)
+                    held_c.append(contexts(output, v.outputs).ravel())
+                    held_t.append(np.tile(output.astype(np.int64), len(DISTANCES)))
+                    held += len(held_t[-1])
+                    seen += len(output)
                     if held >= 16 * BATCH:
                         flush(False)
             if held:
@@ -307,8 +314,7 @@ def score(docs: DataFrame, model: Model, vocabulary: Vocabulary, counts: DataFra
                 place, output = v.encode(words)
                 p = UNIGRAM_WEIGHT * uni[output]
                 target = m.output[output]
-                for d in DISTANCES:
-                    c = shifted(output, d, v.outputs)
+                for c in contexts(output, v.outputs):
                     p = p + share * np.exp(np.einsum("ij,ij->i", m.context[c], target) + m.bias[output] - log_z[c])
                 by_ending = output >= v.n_named
                 known = place >= 0

@@ -141,6 +141,24 @@ def test_model_is_normalised():
     assert Model.of(m.flat(), v.outputs).output.shape == m.output.shape
 
 
+def test_training_takes_each_pair_in_each_round(spark, monkeypatch):
+    """Every token with the word at every distance, and a context of its own for each distance."""
+    from corpusmill.llm import language_model as L
+
+    text = "a b c d e f g h"
+    monkeypatch.setattr(L, "ROUNDS", 1)
+    counts = L.word_counts(spark.createDataFrame([(text,)], "text string"))
+    v = L.read_vocabulary(counts)
+    v.prepare()
+    _, output = v.encode(L.tokens(text.encode()))
+    start = L.first_model(v, 3)
+    model = L.train(spark.createDataFrame([(text,)], "text string").coalesce(1), v)
+    assert len(model.context) == len(L.DISTANCES) * (v.outputs + 1)
+    moved = np.abs(model.context - start.context).max(1) > 0
+    want = {k * (v.outputs + 1) + (int(output[i - d]) if i >= d else v.outputs) for k, d in enumerate(L.DISTANCES) for i in range(len(output))}
+    assert set(np.flatnonzero(moved).tolist()) == want
+
+
 def test_license_scan(spark, odd):
     from corpusmill.llm.license_scan import license_scan
 
