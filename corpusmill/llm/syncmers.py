@@ -8,32 +8,36 @@ from pyspark.sql.window import Window
 
 from corpusmill.llm.common import require
 
-#: Anchors of a fingerprint, and words by which matched anchors may lie off their common shift.
-ANCHORS, DRIFT = 48, 8
+#: Words by which matched anchors may lie off their common shift.
+DRIFT = 8
+
+#: What stands between words.
+SPACE = r"[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]+"
 
 #: Documents to a bucket of neighbours in id order, and the most buckets.
 BUCKET_DOCS, MOST_BUCKETS = 2048, 4096
 
 
 def _anchors(text: str) -> list[tuple[str, str]]:
-    """Steps (column, SQL) from a text to the hashes and places of its least anchors.
+    """Steps (column, SQL) from a text to the hashes and places of its anchors, least hash first.
 
     A k-mer is five words; its inner substrings are the four pairs of neighbouring words. It is a
     closed syncmer if the least hash among them is the first's or the last's, which no word outside
-    the five can change. A text without one has its own hash as only anchor.
+    the five can change. All of them are anchors, at all places, so a shared passage has the same ones
+    in texts of any length. A text without one has its own hash as only anchor.
     """
     return [
-        ("__w", f"split({text}, ' ')"),
+        ("__w", f"array_remove(split({text}, '{SPACE}'), '')"),
         ("__g", "transform(__w, (x, i) -> xxhash64(x, get(__w, i + 1)))"),
-        ("__s", "transform(__g, (x, i) -> if(i + 4 < size(__w) and least(x, get(__g, i + 3)) <= least(get(__g, i + 1), get(__g, i + 2)), shiftrightunsigned(xxhash64(x, get(__g, i + 1), get(__g, i + 2), get(__g, i + 3)), 16), cast(null as bigint)))"),
-        ("__d", "array_compact(array_distinct(__s))"),
-        ("__a", f"if(size(__d) = 0, array(shiftrightunsigned(xxhash64({text}), 16)), slice(sort_array(__d), 1, {ANCHORS}))"),
-        ("__p", "cast(transform(__a, a -> greatest(array_position(__s, a), 1) - 1) as array<bigint>)"),
+        ("__s", "transform(__g, (x, i) -> if(i + 4 < size(__w) and least(x, get(__g, i + 3)) <= least(get(__g, i + 1), get(__g, i + 2)), named_struct('a', shiftrightunsigned(xxhash64(x, get(__g, i + 1), get(__g, i + 2), get(__g, i + 3)), 16), 'p', cast(i as bigint)), null))"),
+        ("__d", "sort_array(array_compact(__s))"),
+        ("__a", f"if(size(__d) = 0, array(shiftrightunsigned(xxhash64({text}), 16)), transform(__d, z -> z.a))"),
+        ("__p", "if(size(__d) = 0, array(0L), transform(__d, z -> z.p))"),
     ]
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``{name}_a``, the least anchors, and ``{name}_p``, the place of the first of each.
+    """Add ``{name}_a``, the anchors, and ``{name}_p``, the place of each.
 
     They are columns and no struct: the optimizer would put a struct's parts where they are read, and
     inside a lambda work them out again for every element.
@@ -49,17 +53,23 @@ def printed(name: str) -> Column:
     return F.expr(f"array_join(zip_with({name}_a, {name}_p, (a, p) -> concat(lpad(lower(hex(a)), 12, '0'), '@', p)), ' ')")
 
 
-def likeness(x: str, y: str) -> Column:
-    """Share of the least anchors of both that both have at one shift: 1 for equal fingerprints, 0 without a common one.
+def with_likeness(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
+    """Add ``name``, the share of the anchors of both that both have at one shift: 1 for equal fingerprints, 0 without a common one.
 
-    The places of a common anchor give its shift from one text to the other; the anchors that agree
-    on a shift, by ``DRIFT`` words or less, are the match.
+    The k-th place of an anchor in one text is matched to its k-th in the other, and gives a shift;
+    the anchors that agree on a shift, by ``DRIFT`` words or less, are the match. They are counted by
+    a sweep over the sorted shifts, so no step is a product of the places.
     """
-    union = f"slice(sort_array(array_union({x}_a, {y}_a)), 1, {ANCHORS})"
-    common = f"array_intersect(array_intersect({x}_a, {y}_a), {union})"
-    shifts = f"transform({common}, h -> get({y}_p, cast(array_position({y}_a, h) as int) - 1) - get({x}_p, cast(array_position({x}_a, h) as int) - 1))"
-    best = f"coalesce(array_max(transform(array({shifts}), d -> array_max(transform(d, e -> size(filter(d, f -> abs(f - e) <= {DRIFT})))))), 0)"
-    return F.expr(f"case when {x}_a = {y}_a and {x}_p = {y}_p then 1D when not arrays_overlap({x}_a, {y}_a) then 0D else {best} / size({union}) end")
+    kept = df.columns
+    for side, t in enumerate((x, y)):
+        nth = f"if(i > 0 and get({t}_a, i - 1) = h, i - cast(array_position({t}_a, h) as int) + 1, 0)"
+        df = df.withColumn(f"__m{side}", F.expr(f"transform({t}_a, (h, i) -> named_struct('h', h, 'n', {nth}, 'side', {side}, 'p', get({t}_p, i)))"))
+    df = df.withColumn("__m", F.expr("sort_array(concat(__m0, __m1))"))
+    df = df.withColumn("__e", F.expr("array_compact(transform(__m, (e, i) -> if(get(__m, i + 1).h = e.h and get(__m, i + 1).n = e.n, get(__m, i + 1).p - e.p, null)))"))
+    df = df.withColumn("__v", F.expr(f"sort_array(flatten(transform(__e, e -> array(named_struct('at', e - {DRIFT}, 'kind', 0), named_struct('at', e, 'kind', 1), named_struct('at', e + {DRIFT}, 'kind', 2)))))"))
+    best = "aggregate(__v, named_struct('now', 0, 'best', 0), (s, v) -> named_struct('now', s.now + if(v.kind = 0, 1, if(v.kind = 2, -1, 0)), 'best', if(v.kind = 1, greatest(s.best, s.now), s.best)), s -> s.best)"
+    df = df.withColumn(name, F.expr(f"{best} / (size(__m) - size(__e))"))
+    return df.select(*kept, name)
 
 
 def _bucket(id_col: str, bounds: list[int]) -> Column:
@@ -113,15 +123,17 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     next document. Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``, one row for each row of ``docs``. A null text is empty; an empty one
     has a fingerprint of its own; the only document's next is itself; an empty table gives no rows;
-    other columns are not read. Texts cross one shuffle, with their anchors.
+    other columns are not read. Texts alone cross one shuffle.
     """
     require(docs, id=id_col, text=text_col)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_next(with_anchors(own, "text", "own"), ["text", "own_a", "own_p"], "id")
-    own = own.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
-    edited = own.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(next.text, 1, cut)")))
-    edited = with_anchors(edited.select("id", "n_chars", "own_a", "own_p", F.col("next.own_a").alias("after_a"), F.col("next.own_p").alias("after_p"), "edited"), "edited", "other")
-    return edited.select(
+    own = with_next(own, ["text"], "id")
+    own = own.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int")).withColumn("after", F.col("next.text"))
+    own = own.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(after, 1, cut)"))).drop("next")
+    for text, name in (("text", "own"), ("after", "after"), ("edited", "other")):
+        own = with_anchors(own, text, name)
+    own = with_likeness(with_likeness(own, "own", "other", "near_edited"), "own", "after", "near_next")
+    return own.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("own").alias("fingerprint"), printed("other").alias("edited_fingerprint"),
-        likeness("own", "other").alias("near_edited"), likeness("own", "after").alias("near_next"),
+        "near_edited", "near_next",
     )

@@ -216,6 +216,25 @@ def test_closed_syncmers_are_context_free(spark):
     assert len(set(got[1]) - set(got[2])) <= 2
 
 
+def test_anchors_of_long_texts(spark):
+    """All anchors at all places, against brute force on the words; a passage keeps its own in a long text; any white space parts words."""
+    from corpusmill.llm.syncmers import fingerprint_neighbours, with_anchors
+
+    random = np.random.default_rng(12)
+    draw = lambda n: [f"w{k}" for k in random.integers(0, 50_000, n)]
+    shared = draw(200)
+    one, two = [*draw(900), *shared, *draw(900)], [*draw(300), *shared, *draw(1500)]
+    texts = [" ".join(shared), " ".join(one), " ".join(two), "\n".join(shared), " ".join(shared + shared)]
+    got = {r.id: list(zip(r.f_a, r.f_p, strict=True)) for r in with_anchors(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", "f").collect()}
+    at = lambda k, shift: {(a, p + shift) for a, p in got[k]}
+    assert len(got[0]) > 48 and got[3] == got[0]
+    assert at(0, 900) <= set(got[1]) and at(0, 300) <= set(got[2])
+    assert at(0, 0) | at(0, 200) <= set(got[4])
+    near = {r.doc_id: r.near_next for r in fingerprint_neighbours(spark.createDataFrame(list(enumerate(texts[1:3])), "doc_id int, text string")).collect()}
+    common = len({a for a, _ in got[1]} & {a for a, _ in got[2]})
+    assert near[0] == near[1] == pytest.approx(common / (len(got[1]) + len(got[2]) - common)) and common >= len(got[0])
+
+
 def test_simhash(spark, docs, odd, texts):
     got = {r.doc_id: r for r in Q.op6_simhash(spark, SF).collect()}
     order = sorted(texts)
