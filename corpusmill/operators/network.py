@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,22 +172,50 @@ def relative_importance(spark: SparkSession, correlations: pd.DataFrame, target:
     return spark.createDataFrame(rows, "variable string, lmg double, last double")
 
 
-#: Rows that a non-negative factorisation is fitted on; all rows are transformed.
-NMF_SAMPLE = 20_000
+def nmf_fit(df: DataFrame, col: str, k: int, rounds: int = 200, tolerance: float = 1e-4) -> np.ndarray:
+    """Components of non-negative vectors, by multiplicative updates over all rows.
 
-
-def nmf_fit(df: DataFrame, col: str, k: int, rounds: int = 200) -> np.ndarray:
-    """Components of non-negative vectors, by multiplicative updates on a bounded sample of those that hash least."""
-    rows = df.where(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(NMF_SAMPLE).select(col).collect()
-    x = np.array([r[0] for r in rows], float)
+    In each round every task finds its rows' loadings on the components so far, and gives their
+    products with the rows and with each other, which are of fixed size; the driver adds these up, by
+    task, and updates the components. It ends early once no component changes by ``tolerance``.
+    """
+    vectors = df.where(F.col(col).isNotNull()).select(F.col(col).alias("x"))
+    first = vectors.first()
     random = np.random.default_rng(42)
-    w, h = random.random((len(x), k)) + 0.1, random.random((k, x.shape[1] if len(x) else 1)) + 0.1
-    for _ in range(rounds if len(x) else 0):
-        h *= (w.T @ x) / (w.T @ w @ h + 1e-12)
-        w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
+    h = random.random((k, len(first[0]) if first else 1)) + 0.1
+
+    def sums(h):
+        def run(batches):
+            wx, ww = np.zeros(h.shape), np.zeros((k, k))
+            for b in batches:
+                if len(b):
+                    x = np.stack([np.asarray(v, float) for v in b["x"]])
+                    w = nmf_loadings_of(x, h)
+                    wx, ww = wx + w.T @ x, ww + w.T @ w
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "wx": [wx.ravel()], "ww": [ww.ravel()]})
+
+        return run
+
+    for _ in range(rounds if first else 0):
+        found = sorted(vectors.mapInPandas(sums(h), "part int, wx array<double>, ww array<double>").collect(), key=lambda r: r.part)
+        wx = np.sum([r.wx for r in found], axis=0).reshape(h.shape)
+        ww = np.sum([r.ww for r in found], axis=0).reshape(k, k)
+        last = h
+        for _ in range(10):
+            h = h * wx / (ww @ h + 1e-12)
+        if np.abs(h - last).max() <= tolerance * np.abs(last).max():
+            break
     return h
 
 
+def nmf_loadings_of(x: np.ndarray, h: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Loadings of vectors on fixed components."""
+    w = np.full((len(x), len(h)), 1.0)
+    for _ in range(rounds):
+        w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
+    return w
+
+
 def nmf_transform(df: DataFrame, key: str, col: str, h: np.ndarray, rounds: int = 50, keep: int = 0) -> DataFrame:
     """Loadings of every vector on fixed components; ``keep`` names the strongest alone."""
     kind = dict(df.dtypes)[key]
@@ -194,9 +223,7 @@ def nmf_transform(df: DataFrame, key: str, col: str, h: np.ndarray, rounds: int
     def run(batches):
         for b in batches:
             x = np.stack([np.asarray(v, float) for v in b[col]]) if len(b) else np.zeros((0, h.shape[1]))
-            w = np.full((len(x), len(h)), 1.0)
-            for _ in range(rounds):
-                w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
+            w = nmf_loadings_of(x, h, rounds)
             yield pd.DataFrame({key: b[key], "component": w.argmax(1) if len(w) else [], "loading": w.max(1).round(4) if len(w) else []})
 
     return df.where(F.col(col).isNotNull()).select(key, col).mapInPandas(run, f"`{key}` {kind}, component int, loading double")

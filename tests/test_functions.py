@@ -104,3 +104,14 @@ def test_annotator_isolates_errors(spark):
     got = sorted((r.doc_id, r.tok, r.error) for r in annotate(df, parse, "i int, tok string").collect() if r.tok)
     assert got == [(1, "a", None), (1, "b", None), (3, "c", None)]
     assert annotate(df, parse, "i int, tok string").where("error is not null").count() == 1
+
+
+def test_factorisation_takes_all_rows(spark):
+    """Rows beyond any sample move the components: a rare pattern that the rows of least hash need not have."""
+    from corpusmill.operators import network as N
+
+    common, rare = [1.0, 0.0, 1.0, 0.0], [0.0, 1.0, 0.0, 1.0]
+    df = spark.range(20_400).select(F.when(F.col("id") < 20_100, F.array(*map(F.lit, common))).otherwise(F.array(*map(F.lit, rare))).alias("x"))
+    h = N.nmf_fit(df, "x", 2, rounds=30)
+    x = np.array([common, rare])
+    assert np.abs(N.nmf_loadings_of(x, h, 200) @ h - x).max() < 0.05
