@@ -24,16 +24,25 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return parts.select(id_col, "sent", T.words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
+def word_arrays(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep..., w``: the words of each text as one array.
+
+    The array comes out of a Generate, so it is a value of the row: as a plain expression it would be
+    put into every lambda that reads it, and worked out again for each word.
+    """
+    return docs.select(*keep, F.explode(F.array(T.words(F.col(text_col)))).alias("w"))
+
+
 def ngrams(docs: DataFrame, n: int = 3, text_col: str = "text") -> DataFrame:
     """``token_0.. token_{n-1}, count``: n-grams that end at each word, padded before a text's first.
 
-    Built in each row and counted in each task before the only shuffle, which is by n-gram.
+    Each word picks its neighbours from its row's array, so a text costs as many steps as it has words;
+    counted in each task before the only shuffle, which is by n-gram.
     """
-    padded = F.concat(F.array_repeat(F.lit(PAD), n - 1), T.words(F.col(text_col)))
-    last = F.size(padded) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(padded, i, F.lit(n)))
-    rows = docs.select(F.explode(F.when(last > 0, grams)).alias("g"))
-    return rows.groupBy(*[F.element_at("g", k + 1).alias(f"token_{k}") for k in range(n)]).agg(F.count("*").alias("count"))
+    names = [f"token_{k}" for k in range(n)]
+    before = [f"coalesce(get(w, i - {n - 1 - k}), '{PAD}') as {c}" for k, c in enumerate(names[:-1])]
+    grams = F.expr(f"transform(w, (x, i) -> struct({', '.join([*before, f'x as {names[-1]}'])}))")
+    return word_arrays(docs, text_col).select(F.inline(grams)).groupBy(*names).agg(F.count("*").alias("count"))
 
 
 def at_least(counts: DataFrame, least: int = 2) -> DataFrame:
@@ -67,9 +76,8 @@ def dependency_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     An annotated table goes through ``dependency_counts`` instead.
     """
-    w = T.words(F.col(text_col))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.struct(F.element_at(w, i).alias("h"), F.element_at(w, i + 1).alias("d")))
-    rows = docs.select(F.explode(F.when(F.size(w) > 1, pairs)).alias("p")).select("p.h", "p.d")
+    pairs = F.expr("transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> struct(x as h, get(w, i + 1) as d))")
+    rows = word_arrays(docs, text_col).select(F.inline(pairs))
     tag = lambda x: F.when(x.rlike("^[0-9]+$"), "NUM").otherwise("WORD")
     return rows.groupBy(F.col("h").alias("head_lemma"), tag(F.col("h")).alias("head_tag"), relation(F.col("d")).alias("relation"), F.col("d").alias("dependent_lemma"), tag(F.col("d")).alias("dependent_tag")).agg(F.count("*").alias("count"))
 
@@ -101,12 +109,13 @@ def association(pairs: DataFrame) -> DataFrame:
 def attestation(ctx: DataFrame, grams: DataFrame, key: str, prefix: str) -> DataFrame:
     """Attach the corpus counts of each token and of its left and right bigrams: ``ctx(key, tok, prev, next)``.
 
-    The corpus tables are cut to what the context needs by semi-joins before they are summed.
+    The corpus table is cut to the words of the context by a semi-join before it is summed to bigrams;
+    unigrams are sums of these, so the corpus is read and shuffled once (the later uses are one exchange).
     Adds ``{prefix}_log_uni`` and flags of unseen unigram and bigrams.
     """
-    uni = marginal(grams.join(ctx.select(F.col("tok").alias("token_2")).distinct(), "token_2", "left_semi"), "token_2").withColumnsRenamed({"token_2": "tok", "count": "u"})
-    wanted = ctx.select(F.col("prev").alias("token_1"), F.col("tok").alias("token_2")).union(ctx.select("tok", "next")).distinct()
-    bi = marginal(grams.join(wanted, ["token_1", "token_2"], "left_semi"), "token_1", "token_2")
+    needed = ctx.select(F.col("tok").alias("token_2")).distinct()
+    bi = marginal(grams.join(needed, "token_2", "left_semi"), "token_1", "token_2")
+    uni = marginal(bi, "token_2").withColumnsRenamed({"token_2": "tok", "count": "u"})
     left = bi.select(F.col("token_1").alias("prev"), F.col("token_2").alias("tok"), F.col("count").alias("l"))
     right = bi.select(F.col("token_1").alias("tok"), F.col("token_2").alias("next"), F.col("count").alias("r"))
     out = ctx.join(uni, "tok", "left").join(left, ["prev", "tok"], "left").join(right, ["tok", "next"], "left")

@@ -134,7 +134,7 @@ select item_id, i, c.tok, round(ln(1 + coalesce(u.u, 0)), 6) as a_log_uni, (u.u
 from c left join u on u.tok = c.tok left join b l on l.token_1 = c.prev and l.token_2 = c.tok left join b r on r.token_1 = c.tok and r.token_2 = c.next""")
 def attestation_lookup(spark, sf_dir):
     ctx = K.with_neighbours(K.tokens(table(spark, sf_dir, "benchmark"), "item_id"), "item_id")
-    a = K.attestation(ctx, K.ngrams(_docs(spark, sf_dir)), "item_id", "a")
+    a = K.attestation(ctx, K.ngrams(_docs(spark, sf_dir), 2).withColumnsRenamed({"token_1": "token_2", "token_0": "token_1"}), "item_id", "a")
     return a.select("item_id", F.col("i").cast("long").alias("i"), "tok", F.round("a_log_uni", 6).alias("a_log_uni"), "a_unseen_uni", "a_unseen_bi_left", "a_unseen_bi_right")
 
 
