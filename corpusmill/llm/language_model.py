@@ -1,7 +1,15 @@
-"""Language-model scoring: a log-bilinear model trained by noise-contrastive estimation."""
+"""Language-model scoring: a log-bilinear model trained by noise-contrastive estimation.
+
+The words before a token give one predicted vector, the sum of their vectors weighed by their distance
+(Mnih and Hinton, 2007). An output is scored by its product with that vector and a bias. Outputs stand
+in classes of like total frequency, and a token's probability is that of its class among all classes
+times that of its output within the class (Mnih and Hinton, 2008), each normalised for each context by
+products of blocks of contexts with all vectors concerned.
+"""
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -15,17 +23,29 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import as_bytes, batch_of, require, small_batches, written
 
-#: Words whose exact counts are broadcast, words that the model has by name, and classes of the others by their ending.
-COUNTED, NAMED, ENDINGS = 1 << 18, 4096, 512
+#: Most words whose exact counts and vectors are broadcast, and classes of all others by their ending.
+COUNTED, ENDINGS = 1 << 18, 512
+
+#: A word with this count or more, among those broadcast, has vectors of its own; how many have grows with the corpus.
+LEAST_NAMED = 100
+
+#: Size of vectors, and words before a token that predict it.
+WIDTH, SPAN = 16, 4
+
+#: Noise classes of a batch, noise outputs of a class in a batch, tokens of a batch.
+NOISE, CLASS_NOISE, BATCH = 32, 16, 16_384
 
-#: Size of word vectors, distances of context words, noise words of a batch, tokens of a batch.
-WIDTH, DISTANCES, NOISE, BATCH = 16, (1, 2, 3), 32, 8192
+#: Contexts whose products with all classes are held at once.
+BLOCK = 2_048
 
 #: Of a token's gradient within a batch's sum.
 GRADIENT_SCALE = 1 / 64
 
-#: Weights of the unigram and of each distance in a token's probability.
-UNIGRAM_WEIGHT = 0.1
+#: Passes over all tokens are cut into this many rounds, by a hash of the row, and tasks' models are averaged after each.
+ROUNDS = 2
+
+#: Rows of parameters that are averaged in one task.
+AVERAGED_ROWS = 4_096
 
 #: Distinct words that a task holds before it passes their counts on.
 FLUSH = 400_000
@@ -33,7 +53,7 @@ FLUSH = 400_000
 #: The token that ends a text; no word is empty.
 END = b""
 
-ROUNDS = 2
+_F4 = np.float32
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -69,7 +89,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The words with known counts, most frequent first; the first ``n_named`` are outputs of the model, then the endings, then the start."""
+    """The words with known counts, most frequent first.
+
+    Outputs of the model are the first ``n_named`` words and the endings of all others, by falling
+    total count; ``of_word`` and ``of_ending`` give their places. Classes are runs of outputs with
+    like total counts; ``starts`` has their first outputs and the end.
+    """
 
     words: list[bytes]
     counts: np.ndarray
@@ -79,29 +104,57 @@ class Vocabulary:
     ending_total: np.ndarray
     ending_distinct: np.ndarray
 
+    def __post_init__(self) -> None:
+        mass = np.concatenate([self.counts[: self.n_named], self.ending_total]) + 1.0
+        order = np.argsort(-mass, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.mass = mass[order] / mass.sum()
+        self.of_ending = place[self.n_named :].astype(np.int32)
+        self.of_word = place[: self.n_named].astype(np.int32)
+        classes = max(1, math.ceil(math.sqrt(len(order))))
+        before = np.cumsum(self.mass) - self.mass
+        cls = np.minimum((before * classes).astype(np.int64), classes - 1)
+        self.starts = np.append(np.flatnonzero(np.diff(cls, prepend=-1)), len(order))
+        self.class_of = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)).astype(np.int32)
+
     def prepare(self) -> None:
+        """What a worker looks words up in; not sent with the rest."""
         self.place = {w: i for i, w in enumerate(self.words)}
-        own = [self.n_named + ending(w) for w in self.words[self.n_named :]]
-        self.output = np.concatenate([np.arange(self.n_named), np.asarray(own, np.int64)]).astype(np.int32)
+        endings = np.array([ending(w) for w in self.words[self.n_named :]], np.int64)
+        self.output = np.concatenate([self.of_word, self.of_ending[endings]]).astype(np.int32)
         self.log_count = np.log10(self.counts + 1.0)
+        log_ending = np.log10(self.ending_total + self.ending_distinct + 1)
+        self.log_share = np.zeros(len(self.words))
+        self.log_share[self.n_named :] = self.log_count[self.n_named :] - log_ending[endings]
+        self.log_unseen = -log_ending
 
     @property
     def outputs(self) -> int:
-        return self.n_named + ENDINGS
+        return len(self.mass)
 
-    def unigram(self) -> np.ndarray:
-        """Of the outputs, smoothed; also the noise."""
-        mass = np.concatenate([self.counts[: self.n_named], self.ending_total]) + 1.0
-        return mass / mass.sum()
+    @property
+    def start(self) -> int:
+        """The context before a text; no output."""
+        return len(self.mass)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Place of each token (-1: none), its output, and the sum of log10 shares of their endings' words.
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each token (-1: none) and its output."""
+        A word without an output of its own has, of its ending, add-one over the ending's words and
+        one unseen; a place of -1 counts as unseen here.
+        """
         get = self.place.get
-        place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        output = self.output[place] if len(self.output) else np.zeros(len(words), np.int32)
-        for i in np.flatnonzero(place < 0):
-            output[i] = self.n_named + ending(words[i])
-        return place, output
+        place = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
+        known = place >= 0
+        output = np.empty(len(words), np.int32)
+        output[known] = self.output[place[known]]
+        share = float(self.log_share[place[known]].sum())
+        for i in np.flatnonzero(~known):
+            e = ending(words[i])
+            output[i] = self.of_ending[e]
+            share += self.log_unseen[e]
+        return place, output, share
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -118,7 +171,7 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     c, words = top["c"].to_numpy().astype(np.float64), top["word"].to_pylist()
     order = sorted(range(len(words)), key=lambda k: (-c[k], words[k]))
     c, words = c[order], [words[k] for k in order]
-    n_named = min(NAMED, len(words))
+    n_named = int((c >= LEAST_NAMED).sum())
     sums = counts.groupBy((F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % ENDINGS).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     by_total, by_distinct = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in sums:
@@ -129,218 +182,365 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, c, int(total), int(distinct), n_named, by_total, by_distinct)
 
 
+def order_of(ids: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative numbers under 2**32, by radix sorts of their halves."""
+    order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(ids) and ids.max() > 0xFFFF:
+        high = (ids >> 16).astype(np.uint16)
+        order = order.take(np.argsort(high.take(order), kind="stable"))
+    return order
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.flatnonzero(np.diff(x, prepend=-1, append=-1))
+
+
 @dataclass
 class Model:
-    """Vectors of context words at each distance (the last of a distance is the start), of outputs, and biases.
+    """Vectors of context words (the last is the start), of outputs and of classes, biases of both, and weights of distances.
 
-    The rows of ``context`` are those of the first distance, then those of the next.
+    An output's bias is within its class.
     """
 
     context: np.ndarray
     output: np.ndarray
     bias: np.ndarray
-
-    def log_normaliser(self) -> np.ndarray:
-        """Log of the sum of all outputs' exponentials for each context, by products of blocks of contexts with all outputs."""
-        out = np.empty(len(self.context))
-        for i in range(0, len(self.context), 256):
-            s = self.context[i : i + 256] @ self.output.T + self.bias
-            top = s.max(1)
-            out[i : i + 256] = top + np.log(np.exp(s - top[:, None]).sum(1))
+    classes: np.ndarray
+    class_bias: np.ndarray
+    position: np.ndarray
+
+    def predicted(self, held: np.ndarray) -> np.ndarray:
+        """The vector predicted for each token after the first ``SPAN``, from the context vectors of all."""
+        n = len(held) - SPAN
+        q = self.position[0] * held[SPAN - 1 : SPAN - 1 + n]
+        for d in range(2, SPAN + 1):
+            q += self.position[d - 1] * held[SPAN - d : SPAN - d + n]
+        return q
+
+    def log_probability(self, ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """Natural logarithm of the probability of each token of ``ids`` after the first ``SPAN``; 0 for starts."""
+        target = ids[SPAN:]
+        order = order_of(target)
+        target = target.take(order)
+        live = int(np.searchsorted(target, v.start))
+        order, target = order[:live], target[:live]
+        q = self.predicted(self.context.take(ids, axis=0)).take(order, axis=0)
+        cls, found = v.class_of.take(target), np.empty(live, np.float64)
+        vectors = np.ascontiguousarray(self.classes.T)
+        for i in range(0, live, BLOCK):
+            s = q[i : i + BLOCK] @ vectors
+            s += self.class_bias
+            found[i : i + BLOCK] = _log_share(s, cls[i : i + BLOCK])
+        edges = runs(cls)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            lo, hi = v.starts[cls[a]], v.starts[cls[a] + 1]
+            if hi - lo > 1:
+                for i in range(a, b, BLOCK):
+                    j = min(b, i + BLOCK)
+                    s = q[i:j] @ self.output[lo:hi].T
+                    s += self.bias[lo:hi]
+                    found[i:j] += _log_share(s, target[i:j] - lo)
+        out = np.zeros(len(ids) - SPAN)
+        out[order] = found
         return out
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.context.ravel(), self.output.ravel(), self.bias]).astype(np.float32)
 
-    @classmethod
-    def of(cls, flat: np.ndarray, outputs: int) -> Model:
-        a = len(DISTANCES) * (outputs + 1) * WIDTH
-        b = a + outputs * WIDTH
-        return cls(flat[:a].reshape(-1, WIDTH), flat[a:b].reshape(-1, WIDTH), flat[b:])
+def _log_share(s: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the target's share in each row's exponentials; ``s`` is used up."""
+    own = s[np.arange(len(s)), target].astype(np.float64)
+    if s.max(initial=-np.inf) > 40 or s.max(1).min(initial=0) < -40:
+        shift = s.max(1, keepdims=True)
+        s -= shift
+        own -= shift[:, 0]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(1, dtype=np.float64))
 
 
-def first_model(vocabulary: Vocabulary, seed: int) -> Model:
+def first_model(v: Vocabulary, seed: int) -> Model:
+    """Unigrams: the biases are the logarithms of the classes' shares and of those within them."""
     random = np.random.default_rng(seed)
-    n = vocabulary.outputs
-    draw = lambda k: random.normal(0, 0.3, (k, WIDTH)).astype(np.float32)
-    return Model(draw(len(DISTANCES) * (n + 1)), draw(n) * 0.3, np.log(vocabulary.unigram()).astype(np.float32))
+    draw = lambda n, spread: random.normal(0, spread, (n, WIDTH)).astype(_F4)
+    of_class = np.add.reduceat(v.mass, v.starts[:-1])
+    position = np.repeat(1.0 / np.arange(1, SPAN + 1), WIDTH).reshape(SPAN, WIDTH).astype(_F4)
+    return Model(draw(v.outputs + 1, 0.3), draw(v.outputs, 0.1), np.log(v.mass / of_class[v.class_of]).astype(_F4), draw(len(of_class), 0.1), np.log(of_class).astype(_F4), position)
 
 
 class Trainer:
-    """Gradient steps of noise-contrastive estimation with step sizes by each row's past gradients."""
-
-    def __init__(self, model: Model, noise: np.ndarray, rate: float, random: np.random.Generator):
-        self.m = Model(model.context.copy(), model.output.copy(), model.bias.copy())
-        self.rate, self.random = rate, random
-        self.cumulative = np.cumsum(noise)
-        self.log_noise = np.log(noise * NOISE).astype(np.float32)
-        self.past = [np.full(len(x), 1e-3, np.float32) for x in (model.context, model.output, model.bias)]
-
-    def _add(self, rows: np.ndarray, gradient: np.ndarray, k: int) -> None:
-        """One step down the sum of each row's gradients."""
-        matrix = (self.m.context, self.m.output)[k]
-        used, back = np.unique(rows, return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        starts = np.searchsorted(back[order], np.arange(len(used)))
-        total = np.add.reduceat(gradient[order], starts, axis=0)
-        self.past[k][used] += (total**2).mean(1)
-        matrix[used] -= self.rate * total / np.sqrt(self.past[k][used])[:, None]
-
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        m = self.m
+    """Gradient steps of noise-contrastive estimation with step sizes by each row's past gradients.
+
+    Of a batch, every token is one true example with its whole context. Its class is told from noise
+    classes drawn from their shares; within its class it is told from noise outputs of the class. The
+    noise is shared by the batch, so that all scores are products of matrices.
+    """
+
+    def __init__(self, model: Model, v: Vocabulary, rate: float, random: np.random.Generator):
+        self.m = Model(*(x.copy() for x in vars(model).values()))
+        self.v, self.rate, self.random = v, rate, random
+        of_class = np.add.reduceat(v.mass, v.starts[:-1])
+        self.cumulative = np.cumsum(of_class)
+        self.log_noise = np.log(of_class * NOISE).astype(_F4)
+        self.within = np.cumsum(v.mass)
+        self.log_within = np.log(v.mass / of_class[v.class_of] * CLASS_NOISE).astype(_F4)
+        self.past = {k: np.full(len(x), 1e-3, _F4) for k, x in vars(self.m).items()}
+        self.seen = np.zeros(len(model.context))
+
+    @staticmethod
+    def _contrast(real: np.ndarray, fake: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients for the scores of the true examples, and of the noise; ``fake`` is used up."""
+        np.clip(fake, -30, 30, out=fake)
+        np.negative(fake, out=fake)
+        np.exp(fake, out=fake)
+        fake += 1
+        np.divide(_F4(GRADIENT_SCALE), fake, out=fake)
+        return _F4(-GRADIENT_SCALE) / (1 + np.exp(np.clip(real, -30, 30))), fake
+
+    def step(self, ids: np.ndarray) -> None:
+        """One step on the tokens of ``ids`` after the first ``SPAN``."""
+        m, v = self.m, self.v
+        n = len(ids) - SPAN
+        everything = order_of(ids)
+        held = m.context.take(ids, axis=0)
+        order = everything[everything >= SPAN] - SPAN
+        target = ids[SPAN:].take(order)
+        live = int(np.searchsorted(target, v.start))
+        if not live:
+            return
+        order, target = order[:live], target[:live]
+        q, cls = m.predicted(held).take(order, axis=0), v.class_of.take(target)
+        # classes
         noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), len(self.cumulative) - 1)
-        x, y, z = m.context[context], m.output[target], m.output[noise]
-        real = np.einsum("ij,ij->i", x, y) + m.bias[target] - self.log_noise[target]
-        fake = x @ z.T + (m.bias[noise] - self.log_noise[noise])
-        n = np.float32(GRADIENT_SCALE)
-        g_real = -n / (1 + np.exp(np.clip(real, -30, 30)))
-        g_fake = n / (1 + np.exp(-np.clip(fake, -30, 30)))
-        self._add(context, g_real[:, None] * y + g_fake @ z, 0)
-        self._add(np.concatenate([target, noise]), np.concatenate([g_real[:, None] * x, g_fake.T @ x]), 1)
-        g = np.bincount(target, g_real, len(m.bias)) + np.bincount(noise, g_fake.sum(0), len(m.bias))
-        self.past[2] += (g**2).astype(np.float32)
-        m.bias -= (0.3 * self.rate * g / np.sqrt(self.past[2])).astype(np.float32)
+        true, false = m.classes.take(cls, axis=0), m.classes[noise]
+        real = np.einsum("ij,ij->i", q, true) + (m.class_bias - self.log_noise).take(cls)
+        real, fake = self._contrast(real, q @ false.T + (m.class_bias - self.log_noise)[noise])
+        g_q = real[:, None] * true
+        g_q += fake @ false
+        edges = runs(cls)
+        at = cls.take(edges[:-1])
+        g_class, g_bias = np.zeros_like(m.classes), np.zeros_like(m.class_bias)
+        g_class[at] = np.add.reduceat(real[:, None] * q, edges[:-1], axis=0)
+        g_bias[at] = np.add.reduceat(real, edges[:-1])
+        np.add.at(g_class, noise, fake.T @ q)
+        np.add.at(g_bias, noise, fake.sum(0))
+        # outputs within their classes
+        true_out, offset = m.output.take(target, axis=0), (m.bias - self.log_within)
+        true_offset = offset.take(target)
+        g_out, g_off = np.zeros((live, WIDTH), _F4), np.zeros(live, _F4)
+        rows, drawn, drawn_bias = [], [], []
+        for a, b, c in zip(edges[:-1].tolist(), edges[1:].tolist(), at.tolist(), strict=True):
+            lo, hi = v.starts[c], v.starts[c + 1]
+            if hi - lo < 2:
+                continue
+            low, high = (self.within[lo - 1] if lo else 0.0), self.within[hi - 1]
+            picks = lo + np.minimum(np.searchsorted(self.within[lo:hi], low + (high - low) * self.random.random(CLASS_NOISE)), hi - lo - 1)
+            false, true, x = m.output[picks], true_out[a:b], q[a:b]
+            real, fake = self._contrast(np.einsum("ij,ij->i", x, true) + true_offset[a:b], x @ false.T + offset[picks])
+            g_q[a:b] += real[:, None] * true
+            g_q[a:b] += fake @ false
+            np.multiply(real[:, None], x, out=g_out[a:b])
+            g_off[a:b] = real
+            rows.append(picks)
+            drawn.append(fake.T @ x)
+            drawn_bias.append(fake.sum(0))
+        # back to the words of the contexts: each place adds up what it did for the tokens after it
+        back = np.zeros((n, WIDTH), _F4)
+        back[order] = g_q
+        g_context, g_position = np.zeros((len(ids), WIDTH), _F4), np.empty_like(m.position)
+        for d in range(1, SPAN + 1):
+            g_context[SPAN - d : SPAN - d + n] += m.position[d - 1] * back
+            g_position[d - 1] = np.einsum("ij,ij->j", back, held[SPAN - d : SPAN - d + n])
+        starts = runs(ids.take(everything))[:-1]
+        self._down("context", ids.take(everything.take(starts)), np.add.reduceat(g_context.take(everything, axis=0), starts, axis=0))
+        if rows:
+            starts = runs(target)[:-1]
+            rows = np.concatenate([target.take(starts), *rows])
+            g = np.concatenate([np.add.reduceat(g_out, starts, axis=0), *drawn])
+            g_off = np.concatenate([np.add.reduceat(g_off, starts), *drawn_bias])
+            again = order_of(rows)
+            starts = runs(rows.take(again))[:-1]
+            used = rows.take(again.take(starts))
+            self._down("output", used, np.add.reduceat(g.take(again, axis=0), starts, axis=0))
+            self._down("bias", used, np.add.reduceat(g_off.take(again), starts), 0.3)
+        every = np.arange(len(g_bias))
+        self._down("classes", every, g_class)
+        self._down("class_bias", every, g_bias, 0.3)
+        self._down("position", np.arange(SPAN), g_position, 0.1)
+        starts = runs(target)[:-1]
+        self.seen[target.take(starts)] += np.diff(np.append(starts, live))
+
+    def _down(self, name: str, rows: np.ndarray, gradient: np.ndarray, share: float = 1.0) -> None:
+        """One step of distinct rows down their gradients."""
+        past, matrix = self.past[name], getattr(self.m, name)
+        past[rows] += (gradient**2).mean(1) if gradient.ndim == 2 else gradient**2
+        size = _F4(share * self.rate) / np.sqrt(past[rows])
+        matrix[rows] -= size[:, None] * gradient if gradient.ndim == 2 else size * gradient
+
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every whole text as the outputs of its tokens, with what counts alone give; texts are cut into words here and not again.
+
+    Returns ``id_col, keep..., row, n_tokens, n_known, base, share, rare, ids``: a number of the row,
+    the tokens with broadcast counts, the sum of their log10 counts plus one, the logarithm of the
+    shares of words without outputs of their own, and the words without a broadcast count.
+    """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    complete = len(vocabulary.words) >= vocabulary.distinct
+    kinds = dict(docs.dtypes)
+    names = (id_col, *[c for c in keep if c != id_col])
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
+    def apply(batches):
+        v = shared.value
+        if not hasattr(v, "place"):
+            v.prepare()
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            out = []
+            for text in as_bytes(batch.column("__text")):
+                words = tokens(text)
+                place, output, share = v.encode(words)
+                known = place >= 0
+                rare = [] if complete else [{"word": w, "n": n} for w, n in Counter([words[i] for i in np.flatnonzero(~known)]).items()]
+                out.append((number, len(words), int(known.sum()), float(v.log_count[place[known]].sum()), share, rare, output))
+                number += 1
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type, pa.list_(pa.int32()))
+            yield batch_of((*names, "row", "n_tokens", "n_known", "base", "share", "rare", "ids"), (*[batch.column(c).type for c in names], *types), (*[batch.column(c) for c in names], *map(list, columns)))
 
-def shifted(output: np.ndarray, distance: int, start: int) -> np.ndarray:
-    """The output so many tokens before each."""
-    out = np.full(len(output), start, output.dtype)
-    out[distance:] = output[:-distance] if distance < len(output) else out[distance:]
-    return out
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", row long, n_tokens long, n_known long, base double, share double, rare array<struct<word: binary, n: long>>, ids array<int>"
+    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(apply, schema)
 
 
-def contexts(output: np.ndarray, start: int) -> np.ndarray:
-    """Row of the model's ``context`` for each distance and token: a distance a row."""
-    return np.stack([shifted(output, d, start).astype(np.int64) + k * (start + 1) for k, d in enumerate(DISTANCES)])
+def joined(column: pa.Array, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' outputs in one array, ``SPAN`` starts before each, and the number of the text that each belongs to."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy()
+    ids = np.full(len(flat) + SPAN * len(lengths), start, np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths + SPAN)
+    ids[np.arange(len(flat)) + SPAN * (np.repeat(np.arange(len(lengths)), lengths) + 1)] = flat
+    return ids, owner
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3, rate: float = 0.2, text_col: str = "text") -> Model:
-    """Train on every token of ``docs``: each task steps through its own, and the tasks' models are averaged by their tokens.
+def train(encoded: DataFrame, vocabulary: Vocabulary, seed: int = 3, rate: float = 0.2) -> Model:
+    """Train on every token of ``encoded``: each task steps through its own, and the tasks' models are averaged.
 
-    A round takes every token of every text with the words at all distances, so it is a whole pass;
-    each round starts at the mean of the last. Means are summed by
-    blocks of parameters in two levels, so no task or driver holds one model a task.
+    The rounds are parts of one pass: each takes the rows that a hash deals to it, whole, and starts
+    at the mean of the last. A row of parameters is averaged by how often its output was met in each
+    task, so tasks that never saw a word do not blur its vectors. Means are by blocks of rows in two
+    levels, so no task or driver holds one model a task.
     """
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     small_batches(spark)
     model = first_model(vocabulary, seed)
     words = spark.sparkContext.broadcast(vocabulary)
-    noise = vocabulary.unigram()
-    blocks = 16
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
-        step_rate = rate / (1 + turn)
-
-        def learn(batches, shared=shared, turn=turn, step_rate=step_rate):
-            v = words.value
-            if not hasattr(v, "place"):
-                v.prepare()
-            part = TaskContext.get().partitionId()
-            trainer = Trainer(shared.value, noise, step_rate, np.random.default_rng([seed, turn, part]))
-            held_c, held_t, held, seen = [], [], 0, 0
-
-            def flush(all_of_it: bool):
-                nonlocal held_c, held_t, held
-                c, t = np.concatenate(held_c), np.concatenate(held_t)
-                end = len(c) if all_of_it else len(c) // BATCH * BATCH
-                for i in range(0, end, BATCH):
-                    trainer.step(c[i : i + BATCH], t[i : i + BATCH])
-                held_c, held_t, held = [c[end:]], [t[end:]], len(c) - end
+
+        def learn(batches, shared=shared, turn=turn):
+            part, v = TaskContext.get().partitionId(), words.value
+            trainer = Trainer(shared.value, v, rate / (1 + turn), np.random.default_rng([seed, turn, part]))
+            held, n = [], 0
+
+            def flush(least: int):
+                nonlocal held, n
+                x = np.concatenate(held)
+                at = 0
+                while len(x) - at - SPAN >= least:
+                    trainer.step(x[at : at + SPAN + BATCH])
+                    at = min(at + BATCH, len(x) - SPAN)
+                    if at == len(x) - SPAN:
+                        break
+                held, n = [x[at:]], len(x) - at
 
             for batch in batches:
-                for text in as_bytes(batch.column(0)):
-                    _, output = v.encode(tokens(text))
-                    held_c.append(contexts(output, v.outputs).ravel())
-                    held_t.append(np.tile(output.astype(np.int64), len(DISTANCES)))
-                    held += len(held_t[-1])
-                    seen += len(output)
-                    if held >= 16 * BATCH:
-                        flush(False)
-            if held:
-                flush(True)
-            if seen:
-                pieces = np.array_split(trainer.m.flat() * np.float32(1), blocks)
-                values = pa.array([p.tolist() for p in pieces], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks)), pa.array([part % 64] * blocks), pa.array([float(seen)] * blocks), values], names=["block", "salt", "weight", "values"])
+                if batch.num_rows:
+                    ids, _ = joined(batch.column(0), v.start)
+                    held.append(ids)
+                    n += len(ids)
+                    if n > 4 * BATCH:
+                        flush(BATCH)
+            if n > SPAN:
+                flush(1)
+            if trainer.seen.any():
+                yield _parts(trainer.m, trainer.seen, part)
 
         def mean(table):
-            weight = table["weight"].to_numpy()
-            flat = table["values"].combine_chunks()
-            x = flat.flatten().to_numpy().reshape(len(table), -1)
-            value = (weight / weight.sum()) @ x
-            return pa.table({"block": table["block"][:1], "salt": pa.array([0]), "weight": pa.array([weight.sum()]), "values": pa.array([value.astype(np.float32).tolist()], pa.list_(pa.float32()))})
-
-        schema = "block long, salt long, weight double, values array<float>"
-        found = docs.select(text_col).mapInArrow(learn, schema).groupBy("block", "salt").applyInArrow(mean, schema).groupBy("block").applyInArrow(mean, schema)
-        rows = sorted(found.collect(), key=lambda r: r.block)
-        if rows:
-            model = Model.of(np.concatenate([np.asarray(r["values"], np.float32) for r in rows]), vocabulary.outputs)
+            total, weight = 0.0, 0.0
+            for w, x in zip(table["weight"].to_pylist(), table["values"].to_pylist(), strict=True):
+                w, x = np.frombuffer(w, "<f4").astype(np.float64), np.frombuffer(x, "<f2").astype(np.float64)
+                total, weight = total + w[:, None] * x.reshape(len(w), -1), weight + w
+            value = (total / weight[:, None]).astype("<f2")
+            return pa.table({"block": table["block"][:1], "salt": pa.array([0]), "weight": pa.array([weight.astype("<f4").tobytes()]), "values": pa.array([value.tobytes()])})
+
+        schema = "block long, salt long, weight binary, values binary"
+        own = encoded.where(F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(ROUNDS)) == turn).select("ids")
+        found = own.mapInArrow(learn, schema).groupBy("block", "salt").applyInArrow(mean, schema).groupBy("block").applyInArrow(mean, schema)
+        model = _put({r.block: r["values"] for r in found.select("block", "values").toLocalIterator()}, model)
     return model
 
 
-def score(docs: DataFrame, model: Model, vocabulary: Vocabulary, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Score every whole text by add-one unigrams (base) and by the model, in log10.
+def _parts(m: Model, seen: np.ndarray, part: int) -> pa.RecordBatch:
+    """A task's model as blocks of rows in half precision with their weights; the last block is that of classes and distances."""
+    rows = np.concatenate([m.context, np.concatenate([m.output, np.zeros((1, WIDTH), _F4)]), np.append(m.bias, _F4(0))[:, None]], axis=1)
+    rest = np.concatenate([m.classes.ravel(), m.class_bias, m.position.ravel()])[None, :]
+    blocks = [(seen[i : i + AVERAGED_ROWS] + 1e-3, rows[i : i + AVERAGED_ROWS]) for i in range(0, len(rows), AVERAGED_ROWS)]
+    blocks.append((np.array([seen.sum()]), rest))
+    columns = [pa.array(range(len(blocks))), pa.array([part % 64] * len(blocks)), pa.array([w.astype("<f4").tobytes() for w, _ in blocks], pa.binary()), pa.array([x.astype("<f2").tobytes() for _, x in blocks], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "salt", "weight", "values"])
+
+
+def _put(parts: dict[int, bytes], last: Model) -> Model:
+    """The model of averaged blocks; without any, the last one."""
+    if not parts:
+        return last
+    found = [np.frombuffer(parts[k], "<f2").astype(_F4) for k in sorted(parts)]
+    rows = np.concatenate(found[:-1]).reshape(-1, 2 * WIDTH + 1)
+    a, b = last.classes.size, last.classes.size + last.class_bias.size
+    rest = found[-1]
+    parts = (rows[:, :WIDTH], rows[:-1, WIDTH : 2 * WIDTH], rows[:-1, 2 * WIDTH], rest[:a].reshape(-1, WIDTH), rest[a:b], rest[b:].reshape(SPAN, WIDTH))
+    return Model(*map(np.ascontiguousarray, parts))
+
+
+def score(encoded: DataFrame, model: Model, vocabulary: Vocabulary, counts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Score the texts of a written ``encoded`` by add-one unigrams (base) and by the model, in log10.
 
-    A token's probability is the weighted sum of the unigram's and of the model's given the word at
-    each distance; each is normalised over all outputs. A word without an output of its own has its
-    ending's probability times its share of it, add-one over the ending's words and one unseen.
     Counts of words beyond those broadcast are joined by word: such a word is rare, so no key of
-    that join is large.
+    that join is large. They raise the share of the word within its ending as they do the base.
 
-    Returns ``id_col, keep..., n_tokens, n_known, base_score, score``, a row for each of ``docs``.
+    Returns ``keep..., n_tokens, n_known, base_score, score``, a row for each of ``encoded``.
     """
-    require(docs, id=id_col, text=text_col)
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model, model.log_normaliser(), vocabulary))
-    complete = len(vocabulary.words) >= vocabulary.distinct
-    kinds = dict(docs.dtypes)
-    names = (id_col, *[c for c in keep if c != id_col])
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    shared = spark.sparkContext.broadcast((model, vocabulary))
+    log_all = math.log10(vocabulary.total + vocabulary.distinct + 1)
+
+    kinds = dict(encoded.dtypes)
+    names = (*keep, "row", "n_tokens", "n_known", "base", "share")
 
     def apply(batches):
-        m, log_z, v = shared.value
-        if not hasattr(v, "place"):
-            v.prepare()
-        uni = v.unigram()
-        log_all = math.log10(v.total + v.distinct + 1)
-        log_ending = np.log10(v.ending_total + v.ending_distinct + 1)
-        share = (1 - UNIGRAM_WEIGHT) / len(DISTANCES)
-        number = TaskContext.get().partitionId() << 33
+        m, v = shared.value
         for batch in batches:
-            out = []
-            for text in as_bytes(batch.column("__text")):
-                words = tokens(text)
-                place, output = v.encode(words)
-                p = UNIGRAM_WEIGHT * uni[output]
-                target = m.output[output]
-                for c in contexts(output, v.outputs):
-                    p = p + share * np.exp(np.einsum("ij,ij->i", m.context[c], target) + m.bias[output] - log_z[c])
-                by_ending = output >= v.n_named
-                known = place >= 0
-                of_counts = v.log_count[place[known]].sum()
-                of_named = v.log_count[place[known & ~by_ending]].sum()
-                base = of_counts - len(words) * log_all
-                found = np.log10(p).sum() + (of_counts - of_named) - log_ending[output[by_ending] - v.n_named].sum()
-                rare = [] if complete else [{"word": w, "n": n} for w, n in Counter([words[i] for i in np.flatnonzero(~known)]).items()]
-                out.append((number, len(words), int(known.sum()), float(base), float(found), rare))
-                number += 1
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-            yield batch_of((*names, "__row", "n_tokens", "n_known", "base_score", "score", "__rare"), (*[batch.column(c).type for c in names], *types), (*[batch.column(c) for c in names], *map(list, columns)))
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __row long, n_tokens long, n_known long, base_score double, score double, __rare array<struct<word: binary, n: long>>"
-    scored = docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(apply, schema)
-    if complete:
-        return scored.drop("__row", "__rare")
-    scored = written(scored, "scored")  # rows have their numbers for good from here on
-    least = float(vocabulary.counts.min()) if len(vocabulary.counts) else math.inf
-    others = counts.where(F.col("c") < least)
-    more = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.n").join(others, "word")
-    more = more.groupBy("__row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
-    joined = scored.drop("__rare").join(more, "__row", "left")
-    extra = F.coalesce("more", F.lit(0.0))
-    return joined.select(*names, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base_score") + extra).alias("base_score"), (F.col("score") + extra).alias("score"))
+            found = np.zeros(batch.num_rows)
+            if batch.num_rows:
+                ids, owner = joined(batch.column("ids"), v.start)
+                for i in range(SPAN, len(ids), BATCH):
+                    p = m.log_probability(ids[i - SPAN : i + BATCH], v)
+                    found += np.bincount(owner[i : i + BATCH], p, len(found))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found / math.log(10))], names=[*names, "found"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", found double"
+    scored = encoded.select(*names, "ids").mapInArrow(apply, schema)
+    extra, known = F.lit(0.0), F.lit(0)
+    if len(vocabulary.words) < vocabulary.distinct:
+        least = float(vocabulary.counts.min()) if len(vocabulary.counts) else math.inf
+        others = counts.where(F.col("c") < least)
+        more = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(others, "word")
+        more = more.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
+        scored = scored.join(more, "row", "left")
+        extra, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
+    base = F.col("base") + extra - F.col("n_tokens") * log_all
+    return scored.select(*keep, "n_tokens", (F.col("n_known") + known).alias("n_known"), base.alias("base_score"), (F.col("found") + F.col("share") + extra).alias("score"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, seed: int = 3) -> DataFrame:
@@ -348,15 +548,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for
     each row of ``docs``. A null or empty text is its end alone; a null id is not held out; without
-    training rows the model is its uniform start and every word unknown; ids may repeat; an empty
-    table gives no rows; other columns are not read.
+    training rows the model is its start, unigrams of equal shares, and every word unknown; ids may
+    repeat; an empty table gives no rows; other columns are not read.
     """
     require(docs, id=id_col, text=text_col)
     out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), out.alias("held_out"))
-    learn = own.where("not held_out")
-    counts = written(word_counts(learn), "words")
+    counts = written(word_counts(own.where("not held_out")), "words")
     vocabulary = read_vocabulary(counts)
-    model = train(learn, vocabulary, seed)
-    scored = score(own, model, vocabulary, counts, "id", keep=("held_out",))
+    encoded = written(encode_documents(own, vocabulary, "id", "text", keep=("held_out",)), "encoded")
+    model = train(encoded.where("not held_out"), vocabulary, seed)
+    scored = score(encoded, model, vocabulary, counts, ("id", "held_out"))
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

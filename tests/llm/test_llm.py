@@ -125,20 +125,76 @@ def test_language_model(spark, docs, odd):
     assert score_documents(odd.limit(0)).count() == 0
 
 
-def test_model_is_normalised():
-    from corpusmill.llm.language_model import ENDINGS, Model, Trainer, Vocabulary, first_model
-
-    words = [b"a", b"b", b"c", b""]
-    v = Vocabulary(words, np.array([4.0, 3, 2, 1]), 10, 4, 4, np.zeros(ENDINGS), np.zeros(ENDINGS))
-    m = first_model(v, 1)
-    t = Trainer(m, v.unigram(), 0.2, np.random.default_rng(1))
-    for _ in range(200):
-        t.step(np.array([0, 1] * 50), np.array([1, 0] * 50))
+def small_vocabulary():
+    from corpusmill.llm import language_model as L
+
+    words = [b"a", b"b", b"c", b"", b"d", b"e", b"rare"]
+    counts = np.array([400.0, 300, 200, 150, 140, 120, 3])
+    by_total, by_distinct = np.zeros(L.ENDINGS), np.zeros(L.ENDINGS)
+    by_total[L.ending(b"rare")], by_distinct[L.ending(b"rare")] = 3, 1
+    v = L.Vocabulary(words, counts, int(counts.sum()), len(words), 6, by_total, by_distinct)
+    v.prepare()
+    return v
+
+
+def plain_log_probability(m, v, context, target):
+    """One token by the definition: the sum of weighed context vectors, all classes, all outputs of the class."""
+    q = sum(m.position[d - 1].astype(float) * m.context[context[-d]] for d in range(1, len(context) + 1))
+    of_class = np.array([q @ c + b for c, b in zip(m.classes.astype(float), m.class_bias, strict=True)])
+    k = v.class_of[target]
+    own = range(v.starts[k], v.starts[k + 1])
+    within = {o: q @ m.output[o].astype(float) + m.bias[o] for o in own}
+    return of_class[k] - np.log(np.exp(of_class).sum()) + within[target] - np.log(sum(np.exp(x) for x in within.values()))
+
+
+def test_model_is_normalised_and_learns():
+    from corpusmill.llm import language_model as L
+
+    v = small_vocabulary()
+    m = L.first_model(v, 1)
+    start = [v.start] * L.SPAN
+    uni = [plain_log_probability(L.Model(*(x * 0 if n in ("context",) else x for n, x in vars(m).items())), v, start, o) for o in range(v.outputs)]
+    assert np.allclose(np.exp(uni), v.mass, atol=1e-6)  # without contexts it is the unigram
+    t = L.Trainer(m, v, 0.2, np.random.default_rng(1))
+    a, b, c = (int(v.of_word[k]) for k in range(3))
+    ids = np.array(start + [a, b, a, b, c, c] * 100)
+    for _ in range(40):
+        t.step(ids)
     m = t.m
-    p = np.exp(m.context @ m.output.T + m.bias - m.log_normaliser()[:, None])
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    assert p[0, 1] > p[1, 1] and p[1, 0] > p[0, 0]
-    assert Model.of(m.flat(), v.outputs).output.shape == m.output.shape
+    for context in (start, [*start[1:], a], [a, b, c, a]):
+        p = np.exp([plain_log_probability(m, v, context, o) for o in range(v.outputs)])
+        assert p.sum() == pytest.approx(1, abs=1e-6)
+        got = np.exp([L.Model.log_probability(m, np.array([*context, o]), v)[-1] for o in range(v.outputs)])
+        assert np.allclose(got, p, atol=1e-5)
+    # order matters: "a b" is met and "b a" after "c" is not
+    assert plain_log_probability(m, v, [c, c, a, b], a) > plain_log_probability(m, v, [a, b, c, c], b)
+    whole = L.Model.log_probability(m, ids, v)
+    assert np.allclose(whole, [plain_log_probability(m, v, ids[i - L.SPAN : i].tolist(), ids[i]) for i in range(L.SPAN, len(ids))], atol=1e-4)
+
+
+def test_scores_are_the_models(spark, odd):
+    """The distributed score of each text is the sum of its tokens' by the definition, with starts before it."""
+    from corpusmill.llm import language_model as L
+
+    v = small_vocabulary()
+    m = L.first_model(v, 2)
+    texts = [(1, "a b c"), (2, ""), (3, None), (4, "B a rare never"), (5, "a " * 300)]
+    docs = spark.createDataFrame([(i, t, False, 7) for i, t in texts], "id long, text string, held_out boolean, score int")
+    encoded = L.written(L.encode_documents(docs, v, "id", "text", ("held_out",)), "test")
+    got = {r.id: r for r in L.score(encoded, m, v, None, ("id", "held_out")).collect()}
+    log_all = np.log10(v.total + v.distinct + 1)
+    counted = {w: n for w, n in zip(v.words, v.counts, strict=True)}
+    for i, text in texts:
+        context, total, base = [v.start] * L.SPAN, 0.0, 0.0
+        for w in L.tokens((text or "").encode()):
+            k = v.words.index(w) if w in v.words else -1
+            o = int(v.of_word[k]) if 0 <= k < v.n_named else int(v.of_ending[L.ending(w)])
+            total += plain_log_probability(m, v, context, o) / np.log(10)
+            if not 0 <= k < v.n_named:
+                total += np.log10((counted.get(w, 0) + 1) / (v.ending_total[L.ending(w)] + v.ending_distinct[L.ending(w)] + 1))
+            base += np.log10(counted.get(w, 0) + 1) - log_all
+            context = [*context[1:], o]
+        assert got[i].score == pytest.approx(total, abs=1e-3) and got[i].base_score == pytest.approx(base, abs=1e-9)
 
 
 def test_training_takes_each_pair_in_each_round(spark, monkeypatch):
