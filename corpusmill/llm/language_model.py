@@ -26,14 +26,15 @@ from corpusmill.llm.common import as_bytes, batch_of, require, small_batches, wr
 #: Most words whose exact counts and vectors are broadcast, and classes of all others by their ending.
 COUNTED, ENDINGS = 1 << 18, 512
 
-#: A word with this count or more, among those broadcast, has vectors of its own; how many have grows with the corpus.
-LEAST_NAMED = 100
+#: A word with at least this count, and this share of the root of all tokens, has vectors of its own if it is
+#: broadcast. So the words that have them grow as the root of the corpus, and the sums for a context as its fourth root.
+LEAST_NAMED, NAMED_ROOT = 16, 1 / 12
 
 #: Size of vectors, and words before a token that predict it.
 WIDTH, SPAN = 16, 4
 
 #: Noise classes of a batch, noise outputs of a class in a batch, tokens of a batch.
-NOISE, CLASS_NOISE, BATCH = 32, 16, 16_384
+NOISE, CLASS_NOISE, BATCH = 24, 8, 16_384
 
 #: Contexts whose products with all classes are held at once.
 BLOCK = 2_048
@@ -171,7 +172,7 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     c, words = top["c"].to_numpy().astype(np.float64), top["word"].to_pylist()
     order = sorted(range(len(words)), key=lambda k: (-c[k], words[k]))
     c, words = c[order], [words[k] for k in order]
-    n_named = int((c >= LEAST_NAMED).sum())
+    n_named = int((c >= max(LEAST_NAMED, NAMED_ROOT * math.sqrt(total))).sum())
     sums = counts.groupBy((F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % ENDINGS).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     by_total, by_distinct = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in sums:
@@ -227,34 +228,37 @@ class Model:
         order, target = order[:live], target[:live]
         q = self.predicted(self.context.take(ids, axis=0)).take(order, axis=0)
         cls, found = v.class_of.take(target), np.empty(live, np.float64)
-        vectors = np.ascontiguousarray(self.classes.T)
+        q1 = np.concatenate([q, np.ones((live, 1), _F4)], axis=1)  # the bias is one more product
+        vectors = np.concatenate([self.classes.T, self.class_bias[None, :]])
+        # no exponential overflows where no product of norms is great, so most often no row's maximum is sought
+        norm = lambda x: math.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
+        reach = norm(q) * max(norm(self.classes), norm(self.output)) + max(np.abs(self.bias).max(initial=0), np.abs(self.class_bias).max(initial=0))
         for i in range(0, live, BLOCK):
-            s = q[i : i + BLOCK] @ vectors
-            s += self.class_bias
-            found[i : i + BLOCK] = _log_share(s, cls[i : i + BLOCK])
+            s = q1[i : i + BLOCK] @ vectors
+            found[i : i + BLOCK] = _log_share(s, cls[i : i + BLOCK], reach)
         edges = runs(cls)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             lo, hi = v.starts[cls[a]], v.starts[cls[a] + 1]
             if hi - lo > 1:
+                own = np.concatenate([self.output[lo:hi].T, self.bias[None, lo:hi]])
                 for i in range(a, b, BLOCK):
                     j = min(b, i + BLOCK)
-                    s = q[i:j] @ self.output[lo:hi].T
-                    s += self.bias[lo:hi]
-                    found[i:j] += _log_share(s, target[i:j] - lo)
+                    s = q1[i:j] @ own
+                    found[i:j] += _log_share(s, target[i:j] - lo, reach)
         out = np.zeros(len(ids) - SPAN)
         out[order] = found
         return out
 
 
-def _log_share(s: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the target's share in each row's exponentials; ``s`` is used up."""
+def _log_share(s: np.ndarray, target: np.ndarray, reach: float) -> np.ndarray:
+    """Log of the target's share in each row's exponentials of scores up to ``reach``; ``s`` is used up."""
     own = s[np.arange(len(s)), target].astype(np.float64)
-    if s.max(initial=-np.inf) > 40 or s.max(1).min(initial=0) < -40:
+    if reach > 60:
         shift = s.max(1, keepdims=True)
         s -= shift
         own -= shift[:, 0]
     np.exp(s, out=s)
-    return own - np.log(s.sum(1, dtype=np.float64))
+    return own - np.log(s @ np.ones(s.shape[1], _F4), dtype=np.float64)
 
 
 def first_model(v: Vocabulary, seed: int) -> Model:
