@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import require, written
+from corpusmill.llm.common import require, small, written
 
 #: Sketch size: a sketch has at most 2**LG_K registers, and a standard error of 3 per cent.
 LG_K = 10
@@ -13,18 +13,9 @@ LG_K = 10
 #: Estimates off the threshold by this share are not trusted either way (six standard errors).
 BAND = 0.2
 
-#: Numbers up to which a written table of hashes is broadcast, over all its rows and arrays: some 16 MB.
-BROADCAST_NUMBERS = 1_000_000
-
 _LAST = (1 << 63) - 1
 
 
-def small(df: DataFrame, numbers: Column | int | None = None) -> DataFrame:
-    """Broadcast a written table that holds few numbers, by an exact sum over its rows; a larger one is joined by a shuffle."""
-    held = df.agg(F.coalesce(F.sum(F.lit(len(df.columns)) if numbers is None else numbers), F.lit(0))).first()[0]
-    return F.broadcast(df) if held <= BROADCAST_NUMBERS else df
-
-
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``id, fp, site, line`` for each distinct line of a row that is long enough to count."""
     hashes = F.expr(f"array_distinct(transform(filter(split(text, '\\n'), x -> length(trim(x)) >= {min_chars}), x -> xxhash64(trim(x))))")
@@ -67,17 +58,19 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, i
     print_of = F.xxhash64(text)
     base = docs.select(ident.alias("id"), print_of.alias("fp"), F.xxhash64(F.lit(3), F.col(site_col)).alias("site"), text.alias("text"))
     lines, holds = line_spread(base, min_sites, min_chars)
-    gone = holds.join(small(lines), "line").where("id <> first").groupBy("id", "fp").agg(F.collect_set("line").alias("__gone"))
+    gone = holds.join(small(lines), "line").where("id <> first").groupBy("id", "fp").agg(F.collect_set("line").alias("gone"))
     gone = written(gone, "gone")
-    rows = docs.withColumn("__id", ident).withColumn("__fp", print_of)
-    rows = rows.join(small(gone, F.size("__gone") + 2).withColumnsRenamed({"id": "__id", "fp": "__fp"}), ["__id", "__fp"], "left").drop("__id", "__fp")
-    all_lines = F.split(text, "\n")
-    left = F.when(F.col("__gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x)))))
-    rows = rows.withColumn("__left", left)
-    n_lines = F.coalesce(F.size(all_lines), F.lit(0)).cast("long")
-    rows = rows.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(n_lines).cast("long"))
-    rows = rows.withColumn("n_removed", F.when(text.isNull(), 0).otherwise(F.col("n_lines") - F.size("__left")).cast("long"))
-    return rows.withColumn(text_col, F.when(F.col("n_removed") == 0, text).otherwise(F.array_join("__left", "\n"))).select(*docs.columns, "n_lines", "n_removed")
+    # a row is carried as one struct, so that no name of its columns clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), ident.alias("id"), print_of.alias("fp"))
+    rows = rows.join(small(gone, F.size("gone") + 2), ["id", "fp"], "left")
+    all_lines = F.split("text", "\n")
+    left = F.when(F.col("gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(F.trim(x)))))
+    rows = rows.withColumn("left", left)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    n_removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines) - F.size("left")).cast("long")
+    rows = rows.withColumns({"n_lines": n_lines, "n_removed": n_removed})
+    new_text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("left", "\n"))
+    return rows.select(*[new_text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns], "n_lines", "n_removed")
 
 
 def boilerplate_sql(min_sites: int = 5, min_chars: int = 20) -> str:

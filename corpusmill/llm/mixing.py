@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import SPACE_WORDS, durable, require
+from corpusmill.llm.common import SPACE_WORDS, durable, require, small
 
 #: Documents that one task rounds together, and residuals that one task of the tree combines.
 GROUP_DOCS, TREE_FAN = 8192, 512
@@ -58,9 +58,15 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     shared again by weight among the others until none is above. Each round is one aggregate over
     the sources; the driver holds two numbers. Returns ``rank, source, source_size, target``.
     """
-    spark = sizes.sparkSession
-    ordered = sizes.select("source", "source_size").orderBy(F.col("source").asc_nulls_last())
-    ranked = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])), "rank long, source string, source_size long")
+    ordered = durable(sizes.select("source", "source_size").orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    held = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a number a partition
+    before, offsets = 0, []
+    for r in held:
+        offsets += [F.lit(r.part), F.lit(before)]
+        before += r.n
+    offset = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    ranked = ordered.select((offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("rank"), "source", "source_size")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = durable(ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most))
     total = share * float(ranked.agg(F.sum("source_size")).first()[0] or 0)
@@ -96,8 +102,9 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     sized = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
     counts = sized.groupBy("source").agg(F.count("*").alias("n"))
-    facts = targets.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source")).select("t.*", "n")
-    rows = sized.alias("s").join(facts.alias("f"), F.expr("s.source <=> f.source")).select(
+    facts = durable(targets.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source")).select("t.*", "n"))
+    # a source's facts are one row: while they are few they are broadcast, so that no task gets a whole source
+    rows = sized.alias("s").join(small(facts).alias("f"), F.expr("s.source <=> f.source")).select(
         "id", "h", "size", "rank", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"), F.ceil(F.col("n") / GROUP_DOCS).alias("groups")
     )
     rows = rows.withColumn("copies", F.floor("ratio")).withColumn("p", F.col("ratio") - F.floor("ratio")).withColumn("grp", F.pmod("h", "groups"))

@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     Texts are cut only at multiples of ``capacity``. The pieces are dealt into groups by a hash of
     what they hold (so that a long text and a group of copies spread over many groups), about
     ``GROUP_PIECES`` to a group, and each group is packed alone by first-fit decreasing. Their number
-    follows the number of rows, so groups stay of one size at any size of the corpus.
+    follows the number of rows and the bytes of long texts, so groups stay of about one size at any size of the corpus.
 
     Returns ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``, one row a piece.
     A null or empty text is its end token alone; ids may be null or repeat; an empty table gives no
@@ -128,7 +128,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     require(docs, id=id_col, text=text_col)
     if id_col in {"start", "length", "ids_crc32", "doc_tokens", "pack_group", "sequence_id", "offset"}:
         raise ValueError(f"the id column may not be named {id_col}")
-    groups = max(1, -(-docs.select(id_col).count() // GROUP_PIECES))
+    # a token of these vocabularies has over two bytes on average, so this counts about the pieces, or some more
+    about = docs.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / (2 * capacity)))).first()[0] or 0
+    groups = max(1, -(-about // GROUP_PIECES))
     pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
     pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), id_col, "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
     kind = dict(docs.dtypes)[id_col]

@@ -1,4 +1,9 @@
-"""Quality classifier by positive-unlabelled learning with the non-negative risk (Kiryo and others, 2017)."""
+"""Quality classifier by positive-unlabelled learning with the non-negative risk (Kiryo and others, 2017).
+
+The risk and its gradient are sums over all trusted positives and all unlabelled rows: each task adds up
+its own, and the driver holds the parameters, a vector of fixed size. The class prior is estimated from
+positives and unlabelled rows alone, by the share of each that a first classifier puts on top.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +14,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from corpusmill.llm.common import as_bytes, batch_of, require, small, small_batches, written
+
+#: Passes over the rows of the first classifier, which serves the prior alone, and of the final one.
+PRIOR_PASSES, PASSES = 8, 12
+
+#: Weight decay.
+DECAY = 2e-4
 
-from corpusmill.llm.common import as_bytes, batch_of, require, small_batches
+#: Gradients and steps that the optimiser remembers.
+MEMORY = 8
 
-#: Bounds on the sample that the model is fitted on: trusted positives, and unlabelled texts.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 4_000
+#: Bins of scores from which the prior is read, from -SCORES to SCORES; share of the positives that a top must hold.
+BINS, SCORES, LEAST_TOP = 400, 20.0, 0.1
 
 BUCKETS = 1 << 14
 _LETTERS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0x80)
@@ -26,8 +41,8 @@ _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c not in
 DENSE = 18
 
 
-def features(text: bytes) -> tuple[list[float], list[int], list[float]]:
-    """Shares that tell how a text is built, and hashed words weighed by the root of their count, of unit length."""
+def features(text: bytes) -> tuple[list[float], list[int], list[int]]:
+    """Shares that tell how a text is built, and hashed words with their counts."""
     words = text.split()
     n, size = len(words), len(text)
     if not n:
@@ -58,67 +73,51 @@ def features(text: bytes) -> tuple[list[float], list[int], list[float]]:
         math.log1p(n / max(1, len(lines))) / 5,
         counts.most_common(1)[0][1] / n,
     ]
-    index = [zlib.crc32(w) % BUCKETS for w in counts]
-    value = np.sqrt(np.fromiter(counts.values(), float))
-    value /= math.sqrt(n)
-    return dense, index, value.tolist()
+    return dense, [zlib.crc32(w) % BUCKETS for w in counts], list(counts.values())
 
 
 @dataclass
 class Model:
+    """A linear model on standardised shares and on words weighed by the root of their share of the text."""
+
     mean: np.ndarray
     scale: np.ndarray
-    dense: np.ndarray
-    hashed: np.ndarray
-    bias: float
+    weights: np.ndarray
 
-    def score(self, dense: np.ndarray, index: list, value: list) -> float:
-        z = float((dense - self.mean) / self.scale @ self.dense) + self.bias
-        if len(index):
-            z += float(self.hashed[np.asarray(index)] @ np.asarray(value))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def scores(self, rows: Rows) -> np.ndarray:
+        return sigmoid(rows.product(self.weights, self.mean, self.scale))
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+@dataclass
+class Rows:
+    """Features of rows: shares, and of all rows' words in a line the row, the bucket and the weight."""
 
+    dense: np.ndarray
+    owner: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
 
-def fit(rows: pa.Table, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
-    """Minimise ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` of the logistic loss, by Adam over all rows.
+    @classmethod
+    def of(cls, dense: list, index: list, counts: list) -> Rows:
+        """From each row's shares, and buckets and counts of words as bytes."""
+        sizes = np.array([len(x) // 2 for x in index], np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        n = np.frombuffer(b"".join(counts), "<u4").astype(np.float64)
+        total = np.bincount(owner, n, len(sizes))
+        return cls(np.array(dense, np.float64).reshape(-1, DENSE), owner, np.frombuffer(b"".join(index), "<u2").astype(np.int64), np.sqrt(n / total[owner]))
 
-    ``rows(positive, dense, index, value)``. Where the second part is below 0 the step goes up its
-    gradient, as the method has it. With no positive or no unlabelled row the model is the prior alone.
-    """
-    positive = rows["positive"].to_numpy().astype(bool)
-    if positive.all() or not positive.any():
-        p = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(DENSE), np.ones(DENSE), np.zeros(DENSE), np.zeros(BUCKETS), math.log(p / (1 - p)))
-    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
-    x = flat("dense").reshape(-1, DENSE)
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < 1e-9] = 1.0
-    x = (x - mean) / scale
-    index, value = flat("index"), flat("value")
-    owner = np.repeat(np.arange(len(positive), dtype=np.int32), pc.list_value_length(rows["index"]).to_numpy())
-    n_p, n_u = positive.sum(), (~positive).sum()
-    theta = np.zeros(DENSE + BUCKETS + 1)
-    theta[-1] = math.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        z = x @ theta[:DENSE] + np.bincount(owner, value * theta[DENSE + index], len(positive)) + theta[-1]
-        s = _sigmoid(z)
-        down = np.logaddexp(0, z)  # loss of calling a row negative
-        rest = down[~positive].mean() - prior * down[positive].mean()
-        g = np.where(positive, -prior * s / n_p, s / n_u)  # gradient of the second part
-        if rest >= 0:
-            g = g + np.where(positive, -prior * (1 - s) / n_p, 0.0)
-        else:
-            g = -g
-        grad = np.concatenate([x.T @ g, np.bincount(index, value * g[owner], BUCKETS), [g.sum()]])
-        grad[:-1] += decay * theta[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, theta[:DENSE], theta[DENSE:-1], float(theta[-1]))
+    def product(self, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Each row's product with the weights of shares, words and the constant, in this order."""
+        words = np.bincount(self.owner, self.value * weights[DENSE + self.index], len(self.dense))
+        return (self.dense - mean) / scale @ weights[:DENSE] + words + weights[-1]
+
+    def back(self, g: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """The sum of the rows' features, each times its number."""
+        return np.concatenate([g @ ((self.dense - mean) / scale), np.bincount(self.index, self.value * g[self.owner], BUCKETS), [g.sum()]])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def held_out(id_col: str, folds: int = 5) -> Column:
@@ -126,62 +125,210 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> Model:
-    """Fit a model on at most ``MAX_POSITIVE`` trusted positives and ``MAX_UNLABELLED`` other texts.
+def summed(table: DataFrame, part_of) -> np.ndarray:
+    """The sum over all rows of ``table`` of vectors that ``part_of(positive, rows, half)`` gives for each batch, in two levels of tasks."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = Rows.of(*(batch.column(c).to_pylist() for c in ("dense", "index", "counts")))
+                flags = [batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("positive", "half")]
+                found = part_of(flags[0], rows, flags[1])
+                total = found if total is None else total + found
+        if total is not None:
+            part = TaskContext.get().partitionId()
+            yield batch_of(("part", "salt", "sums"), (pa.int64(), pa.int64(), pa.binary()), ([part], [part % 32], [total.astype("<f8").tobytes()]))
+
+    def add(rows):
+        order = np.argsort(rows["part"].to_numpy())
+        total = np.sum([np.frombuffer(x, "<f8") for x in rows["sums"].take(pa.array(order)).to_pylist()], axis=0)
+        return pa.table({"salt": rows["salt"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    found = table.mapInArrow(run, "part long, salt long, sums binary").groupBy("salt").applyInArrow(add, "salt long, sums binary")
+    parts = sorted(found.collect(), key=lambda r: r.salt)
+    return np.sum([np.frombuffer(r.sums, "<f8") for r in parts], axis=0) if parts else np.zeros(0)
+
+
+def fit(risk, start: np.ndarray, passes: int) -> np.ndarray:
+    """Minimise ``risk(theta) -> (value, gradient)`` by limited-memory quasi-Newton steps (Nocedal, 1980), halved while the risk grows; each call is a pass."""
+    theta = start
+    value, gradient = risk(theta)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    size, used = 1.0, 1
+    while used < passes and np.abs(gradient).max() > 1e-6:
+        q, weights = gradient.copy(), []
+        for s, y in reversed(steps):
+            a = s @ q / (s @ y)
+            q -= a * y
+            weights.append(a)
+        if steps:
+            s, y = steps[-1]
+            q *= s @ y / (y @ y)
+        else:
+            q /= max(1.0, np.linalg.norm(q))
+        for (s, y), a in zip(steps, reversed(weights), strict=True):
+            q += s * (a - y @ q / (s @ y))
+        if q @ gradient <= 0:
+            q, steps = gradient / max(1.0, np.linalg.norm(gradient)), []
+        after = theta - size * q
+        next_value, next_gradient = risk(after)
+        used += 1
+        if next_value > value - 1e-4 * size * (q @ gradient):
+            size /= 2
+            if size < 1e-3:
+                break
+            continue
+        s, y = after - theta, next_gradient - gradient
+        if s @ y > 1e-12:
+            steps = [*steps[1 - MEMORY :], (s, y)]
+        theta, value, gradient, size = after, next_value, next_gradient, 1.0
+    return theta
+
+
+def non_negative_risk(table: DataFrame, prior: float, mean: np.ndarray, scale: np.ndarray, n_positive: float, n_free: float, of_positive: np.ndarray, half: bool = False):
+    """``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` of the logistic loss and its gradient, with weight decay, as a function of the weights.
 
-    Held-out rows are neither. The prior of class 1 is estimated by the labelled rows' share of it,
-    over all of them; labels of 0 serve for that alone. The sample is the rows whose id hashes
-    least, so it does not depend on order or partitions; the driver gets their features, so no more
-    than the bounds.
+    ``of_positive`` is the positives' mean row: the losses of calling a row positive or negative
+    differ by its score, so one gradient over the positives serves both.
     """
-    require(docs, id=id_col, text=text_col)
-    known = labels.where(~held_out(id_col, folds)).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    prior, n = known.agg(F.avg(F.col("label").cast("double")), F.count("*")).first()
-    prior = 0.5 if not n else min(max(float(prior), 0.01), 0.99)
-    order = F.xxhash64(F.lit(71), F.col(id_col))
-    positive = known.where("label = 1").select(id_col).orderBy(order).limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
-    free = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, folds)).select(id_col).orderBy(F.xxhash64(F.lit(72), F.col(id_col))).limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
+
+    def risk(theta):
+        def part_of(positive, rows, of_half):
+            use = of_half if half else np.ones(len(positive), bool)
+            z = rows.product(theta, mean, scale)
+            s, down = sigmoid(z), np.logaddexp(0, z)  # loss of calling a row negative
+            p, u = positive & use, use
+            of_p = rows.back(np.where(p, s - 1, 0.0), mean, scale)
+            of_u = rows.back(np.where(u, s, 0.0), mean, scale)
+            return np.concatenate([[down[p].sum(), z[p].sum(), down[u].sum()], of_p, of_u])
+
+        sums = summed(table, part_of)
+        n = len(theta)
+        down_p, z_p, down_u = sums[0] / n_positive, sums[1] / n_positive, sums[2] / n_free
+        g_p, g_u = sums[3 : 3 + n] / n_positive, sums[3 + n :] / n_free
+        rest = down_u - prior * down_p
+        value, gradient = prior * (down_p - z_p), prior * g_p
+        if rest > 0:
+            value, gradient = value + rest, gradient + g_u - prior * (g_p + of_positive)
+        free = np.append(theta[:-1], 0.0)
+        return value + DECAY / 2 * float(free @ free), gradient + DECAY * free
+
+    return risk
+
+
+def estimated_prior(positive: np.ndarray, free: np.ndarray) -> float:
+    """The class prior from histograms of scores of positives and of unlabelled rows, highest first.
+
+    A share ``prior`` of the unlabelled rows is as the positives are, so of any top of the scores they
+    have at least the prior times what the positives have; the least ratio, with the bounds of both
+    shares at 95 per cent, is the estimate (Garg and others, 2021). Tops must hold ``LEAST_TOP`` of the positives.
+    """
+    n_p, n_u = positive.sum(), free.sum()
+    if not n_p or not n_u:
+        return 0.5
+    top_p, top_u = np.cumsum(positive) / n_p, np.cumsum(free) / n_u
+    off = lambda n: math.sqrt(math.log(4 / 0.05) / (2 * n))
+    use = top_p >= LEAST_TOP
+    best = np.argmin((top_u[use] + off(n_u) + off(n_p)) / top_p[use])
+    return float(np.clip((top_u[use] / top_p[use])[best], 0.01, 0.99))
+
+
+def feature_table(docs: DataFrame, positive: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written features of all ``docs``, with whether each is a trusted positive, and a half that a hash of the text deals."""
     small_batches(docs.sparkSession)
+    trusted = small(written(positive.select(F.col(id_col).alias("trusted")).distinct(), "trusted"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = own.join(trusted, F.col("id") == F.col("trusted"), "left").select("text", F.col("trusted").isNotNull().alias("positive"), (F.pmod(F.xxhash64(F.lit(71), "text"), F.lit(2)) == 0).alias("half"))
 
     def extract(batches):
+        types = (pa.bool_(), pa.bool_(), pa.list_(pa.float64()), pa.binary(), pa.binary())
         for batch in batches:
             found = [features(t) for t in as_bytes(batch.column(0))]
-            types = (pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield batch_of(("positive", "key", "dense", "index", "value"), types, (batch.column(1), batch.column(2), *(map(list, zip(*found, strict=True)) if found else ([], [], []))))
+            index = [np.array(i, "<u2").tobytes() for _, i, _ in found]
+            counts = [np.array(c, "<u4").tobytes() for _, _, c in found]
+            yield batch_of(("positive", "half", "dense", "index", "counts"), types, (batch.column(1), batch.column(2), [d for d, _, _ in found], index, counts))
 
-    # both samples are bounded, so broadcasting their ids is
-    sample = F.broadcast(positive.unionByName(free))
-    chosen = docs.select(id_col, text_col).join(sample, id_col).select(text_col, "positive", F.xxhash64(F.lit(73), id_col, text_col).alias("key"))
-    rows = chosen.mapInArrow(extract, "positive boolean, key long, dense array<double>, index array<int>, value array<float>").toArrow()
-    # in an order of their own, as sums of floating-point numbers follow it
-    order = np.lexsort((rows["key"].to_numpy(), rows["positive"].to_numpy()))
-    return fit(rows.take(pa.array(order)), prior)
+    return written(own.mapInArrow(extract, "positive boolean, half boolean, dense array<double>, index binary, counts binary"), "features")
 
 
-def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Score every whole text; the model is of fixed size and broadcast, and rows are independent.
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> Model:
+    """Fit a model on all trusted positives and all unlabelled rows.
 
-    Returns ``id_col, score`` and the columns ``keep``. A null or empty text has the score of an
-    empty one; ids may be null or repeat.
+    Trusted positives are the documents with a label of 1 (an id with several labels counts by the
+    greatest); unlabelled are all documents, as labels of 0 are not used. Held-out rows are neither.
+    The prior is estimated from both: a first classifier is fitted on one half of the rows, and its
+    scores are compared on the other. Without positives or rows the model is the constant 0.5.
     """
     require(docs, id=id_col, text=text_col)
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    names = [id_col, *[c for c in keep if c != id_col]]
+    require(labels, id=id_col, label=label_col)
+    positive = labels.where(~held_out(id_col, folds) & (F.col(label_col) == 1)).select(id_col)
+    table = feature_table(docs.where(~held_out(id_col, folds)), positive, id_col, text_col)
+    nothing = np.zeros(DENSE + BUCKETS + 1)
+    zero, one = np.zeros(DENSE), np.ones(DENSE)
+
+    def first(p, rows, half):
+        everywhere = np.ones(len(p))
+        x = rows.dense
+        of = [p.sum(), len(p), (p & half).sum(), half.sum()]
+        return np.concatenate([of, x.sum(0), (x**2).sum(0), rows.back(p * everywhere, zero, one), rows.back((p & half) * everywhere, zero, one)])
+
+    sums = summed(table, first)
+    if not len(sums) or min(sums[0], sums[2], sums[3], sums[1] - sums[3], sums[0] - sums[2]) < 1:
+        return Model(zero, one, nothing)
+    n_p, n_u, half_p, half_u = sums[:4]
+    mean = sums[4 : 4 + DENSE] / n_u
+    scale = np.sqrt(np.maximum(sums[4 + DENSE : 4 + 2 * DENSE] / n_u - mean**2, 0))
+    scale[scale < 1e-9] = 1.0
+    rest = sums[4 + 2 * DENSE :]
+
+    def mean_row(x, n):
+        x = x / n
+        return np.concatenate([(x[:DENSE] - mean) / scale, x[DENSE:-1], [1.0]])
+
+    risk = non_negative_risk(table, 0.5, mean, scale, half_p, half_u, mean_row(rest[len(rest) // 2 :], half_p), half=True)
+    theta = fit(risk, nothing, PRIOR_PASSES)
+
+    def histograms(p, rows, half):
+        z = np.clip(rows.product(theta, mean, scale), -SCORES, SCORES)
+        at = np.minimum(((SCORES - z) / (2 * SCORES) * BINS).astype(int), BINS - 1)
+        return np.concatenate([np.bincount(at[p & ~half], minlength=BINS), np.bincount(at[~half], minlength=BINS)]).astype(float)
+
+    counts = summed(table, histograms)
+    prior = estimated_prior(counts[:BINS], counts[BINS:])
+    start = theta.copy()
+    start[-1] += math.log(prior / (1 - prior))
+    risk = non_negative_risk(table, prior, mean, scale, n_p, n_u, mean_row(rest[: len(rest) // 2], n_p))
+    return Model(mean, scale, fit(risk, start, PASSES))
+
+
+def score_rows(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``row, score``: every whole text of a table with one column ``row``, a struct, is scored.
+
+    The model is of fixed size and broadcast, and rows are independent. A null or empty text has the
+    score of an empty one.
+    """
+    small_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches):
         m = shared.value
         for batch in batches:
-            scores = [m.score(np.asarray(d), i, v) for d, i, v in map(features, as_bytes(batch.column("__text")))]
-            yield batch_of((*names, "score"), (*[batch.column(c).type for c in names], pa.float64()), (*[batch.column(c) for c in names], scores))
+            found = [features(t) for t in as_bytes(batch.column(0))]
+            x = Rows.of([d for d, _, _ in found], [np.array(i, "<u2").tobytes() for _, i, _ in found], [np.array(c, "<u4").tobytes() for _, _, c in found])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(m.scores(x) if len(found) else [], pa.float64())], names=["row", "score"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double"
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(apply, schema)
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType())])
+    return rows.select(F.col("row")[text_col].alias("text"), "row").mapInArrow(apply, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Train on ``labels`` and score every document: ``id_col, held_out, score, predicted``."""
+    """Train on ``labels`` and score every document: ``id_col, held_out, score, predicted``, one row for each row of ``docs``.
+
+    Ids may be null or repeat; a null or empty text has the score of an empty one; an empty table
+    gives no rows; other columns are not read.
+    """
     model = train_quality(docs, labels, id_col, text_col, label_col)
-    scored = score_quality(docs, model, id_col, text_col)
+    rows = docs.select(F.struct(F.col(id_col), F.col(text_col)).alias("row"))
+    scored = score_rows(rows, model, text_col).select(F.col("row")[id_col].alias(id_col), "score")
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

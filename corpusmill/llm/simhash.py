@@ -335,32 +335,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     are one component then. In the others, all pairs of sets of two components are compared, in blocks
     (``links_across``), so that no link between members of a group is missed.
 
-    Returns ``id_col, component_id``, one row for each row of ``docs``. Texts of the same words, but
-    for case, are one class; so are all without words, null ones too. A null id is never the least
-    unless a group has no other; ids may repeat; an empty table gives no rows.
+    Returns ``id_col, text_hash, component_id, kept``, one row for each row of ``docs``: the hash of
+    its text, the least id of its group, and whether it is the group's first row, the one of the least
+    id and then of the least text hash. Texts of the same words, but for case, are one class; so are
+    all without words, null ones too. A null id is never the least unless a group has no other; a
+    repeated id with other texts is several texts; rows alike in id and text are kept or not together;
+    an empty table gives no rows; other columns are not read.
     """
     require(docs, id=id_col, text=text_col)
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def sketch(batches):
         for batch in batches:
             cls, found = [], []
-            for text in as_bytes(batch.column(1)):
-                cls.append(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7)))
-                found.append(views_of(shingle_hashes(text, shingle), views, sample))
-            yield batch_of(("id", "cls", "views"), (batch.column(0).type, pa.int64(), pa.list_(pa.int64())), (batch.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), found))
-
-    rows = written(docs.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, cls long, views array<long>"), "views")
-    classes = rows.groupBy("cls").agg(F.min("id").alias("least"), F.first("views").alias("views"))
+            for t in as_bytes(batch.column(1)):
+                cls.append(np.uint64(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7)))
+                found.append(views_of(shingle_hashes(t, shingle), views, sample))
+            types = (batch.column(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield batch_of(("id", "text_hash", "cls", "views"), types, (batch.column(0), batch.column(2), pa.array(np.array(cls, np.uint64).view(np.int64)), found))
+
+    rows = written(own.mapInArrow(sketch, f"id {kind}, text_hash long, cls long, views array<long>"), "views")
+    # a class is known by a row: one of the least id, and of these by its text, as ids may repeat or be null
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash"))
+    classes = rows.groupBy("cls").agg(first.alias("first"), F.first("views").alias("views"))
     classes = written(classes, "classes")
     seen = classes.select("cls", F.posexplode("views").alias("view", "fp"))
     linked = durable(hamming_components(seen.select("fp").distinct(), reach))
     member = seen.join(linked, "fp", "left").select("cls", "view", F.coalesce("root", "fp").alias("root"))
     head = member.groupBy("root").agg(F.min(F.struct(F.xxhash64("cls", "view"), "cls")).alias("head"), F.count("*").alias("n")).where("n > 1").select("root", F.col("head.cls").alias("head"))
     pairs = written(member.join(head, "root").where("cls <> head").select("cls", "head").distinct(), "pairs")
-    wanted = pairs.select("cls").union(pairs.select("head")).distinct().join(classes.select("cls", "least"), "cls")
-    texts = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("least")).select("cls", text_col)
+    wanted = pairs.select("cls").union(pairs.select("head")).distinct().join(classes.select("cls", "first"), "cls")
+    wanted = wanted.select("cls", F.col("first.id").alias("of_id"), F.col("first.text_hash").alias("of_text"))
+    texts = own.join(wanted, (F.col("text_hash") == F.col("of_text")) & F.col("id").eqNullSafe(F.col("of_id"))).select("cls", "text")
 
     def sets(batches):
         for batch in batches:
@@ -371,11 +380,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     both = pairs.join(kept, "cls").withColumnRenamed("s", "x").join(kept.select(F.col("cls").alias("head"), F.col("s").alias("y")), "head")
     common = F.size(F.array_intersect("x", "y"))
     edges = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    first = durable(connected_components(edges)).select(F.col("node").alias("cls"), F.col("root").alias("component"))
-    grouped = written(member.select("cls", "root").distinct().join(kept.select("cls"), "cls").join(first, "cls", "left").select("root", "cls", F.coalesce("component", "cls").alias("component")), "grouped")
+    joined = durable(connected_components(edges)).select(F.col("node").alias("cls"), F.col("root").alias("component"))
+    grouped = written(member.select("cls", "root").distinct().join(kept.select("cls"), "cls").join(joined, "cls", "left").select("root", "cls", F.coalesce("component", "cls").alias("component")), "grouped")
     across = durable(connected_components(links_across(grouped, kept, similarity))).select(F.col("node").alias("component"), "root")
     components = grouped.select("cls", "component").distinct().join(across, "component", "left").select("cls", F.coalesce("root", "component").alias("root"))
-    named = classes.select("cls", "least").join(components, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "root").select("cls", "component_id")
-    return rows.join(of_class, "cls").select(F.col("id").alias(id_col), "component_id")
+    named = classes.select("cls", "first").join(components, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    of_class = named.join(least, "root").select("cls", "least")
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return rows.join(of_class, "cls").select(F.col("id").alias(id_col), "text_hash", F.col("least.id").alias("component_id"), stays.alias("kept"))
