@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import IntegerType
 
 #: Closed word classes; the first that holds a word names it.
@@ -106,3 +107,20 @@ def deletions(word: Column) -> Column:
     one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     first = one(word)
     return F.array_distinct(F.concat(F.array(word), first, F.flatten(F.transform(first, one))))
+
+
+def similar_words(counts: DataFrame, word: str, count: str, most: int = 8) -> DataFrame:
+    """``word, other, distance, pick``: for each word the nearest others, by distance and then by frequency.
+
+    Words of more than three letters have partners up to distance 2, shorter ones 1. Candidates share a
+    form with so many letters left out; a form that two words share is one key of the join. Those too
+    far by plain edit distance less a swap are dropped in the JVM before the exact distance is taken.
+    """
+    reach = F.when(F.length(word) > 3, 2).otherwise(1)
+    keys = counts.select(F.col(word).alias("word"), F.col(count).alias("c"), reach.alias("reach"), F.explode(deletions(F.col(word))).alias("key"))
+    a, b = keys.alias("a"), keys.alias("b")
+    pairs = a.join(b, "key").where("a.word <> b.word and abs(length(a.word) - length(b.word)) <= a.reach")
+    pairs = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("b.c").alias("c"), F.col("a.reach").alias("reach")).distinct()
+    near = pairs.where(F.levenshtein("word", "other") <= 2 * F.col("reach")).withColumn("distance", osa(F.col("word"), F.col("other"))).where("distance <= reach")
+    w = Window.partitionBy("word").orderBy("distance", F.desc("c"), "other")
+    return near.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most).select("word", "other", "distance", "pick")

@@ -58,12 +58,23 @@ def shards_by_tokens(docs: DataFrame, order: list[Column], tokens: str, budget:
 
 
 def verify_by_source(docs: DataFrame, source: str, tokens: str, target: int, least: int) -> DataFrame:
-    """Per source: documents, tokens, deviation from the target, mean, median, floor-index percentiles, short documents, and whether within 5 per cent."""
-    at = lambda p: F.element_at(F.sort_array(F.collect_list(tokens)), F.floor(F.count("*") * p).cast("int") + 1)
-    total = F.sum(tokens)
-    return docs.groupBy(source).agg(
-        F.count("*").alias("docs"), total.alias("tokens"), F.round(total * 100.0 / target, 6).alias("pct_of_target"), F.round(F.avg(tokens), 6).alias("mean_tokens"), F.median(tokens).alias("median_tokens"),
-        at(0.05).alias("p5"), at(0.95).alias("p95"), F.count_if(F.col(tokens) < least).alias("short_docs"), (F.abs(total - target) <= target * 0.05).alias("within_5pct"),
+    """Per source: documents, tokens, deviation from the target, mean, median, floor-index percentiles, short documents, and whether within 5 per cent.
+
+    Documents are counted by source and number of tokens first, in each task too, so that what is put
+    in order are distinct numbers and not the documents of a source.
+    """
+    sizes = docs.groupBy(source, tokens).agg(F.count("*").alias("n"))
+    running = Window.partitionBy(source).orderBy(tokens)
+    of = Window.partitionBy(source)
+    placed = sizes.withColumns({"upto": F.sum("n").over(running), "all": F.sum("n").over(of)})
+    # the value at a place from 0 is the least one whose running count exceeds the place
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(tokens)))
+    share = lambda p: at(F.floor(F.col("all") * p))
+    n, total = F.sum("n"), F.sum(F.col(tokens) * F.col("n"))
+    middle = (at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2.0
+    return placed.groupBy(source).agg(
+        n.alias("docs"), total.alias("tokens"), F.round(total * 100.0 / target, 6).alias("pct_of_target"), F.round(total / n, 6).alias("mean_tokens"), middle.alias("median_tokens"),
+        share(0.05).alias("p5"), share(0.95).alias("p95"), F.sum(F.when(F.col(tokens) < least, F.col("n")).otherwise(0)).alias("short_docs"), (F.abs(total - target) <= target * 0.05).alias("within_5pct"),
     )
 
 

@@ -75,9 +75,8 @@ def mtld(words: pd.Series) -> pd.Series:
 def syntactic(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Clause and nominal measures of an annotated token table.
 
-    ``parsed(id, sent_id, i, pos, tag, dep, head_i, finite, is_punct, is_space)``. Children are one
-    aggregate by head, joined back on (text, token). Clauses coordinated with an independent one are
-    promoted by a bounded number of self-joins, as many as the longest chain of them.
+    ``parsed(id, sent_id, i, pos, tag, dep, head_i, finite, is_punct, is_space, is_alpha)``. Children are one
+    aggregate by head, joined back on (text, token). ``is_alpha`` marks words of letters alone.
     """
     p = parsed
     child = p.where(F.col("head_i") != F.col("i")).groupBy(id_col, F.col("head_i").alias("i")).agg(
@@ -91,28 +90,36 @@ def syntactic(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     clause = F.col("pos").isin("VERB", "AUX") & ~F.col("dep").isin(*AUXILIARY) & (imperative | (is_finite & (no("has_subject") | F.col("dep").isin(*SUBJECTLESS))))
     free = ~F.col("dep").isin(*SUBORDINATING) | ((F.col("dep") == "ccomp") & (F.col("i") < F.col("head_i")) & ~no("has_mark"))
     t = t.withColumn("clause", clause).withColumn("seed", F.col("clause") & ((F.col("dep") == "ROOT") | free))
-    c = t.where("clause").select(id_col, "sent_id", "i", "head_i", "dep", "seed")
-    heads = c.where("seed").select(id_col, "sent_id", "i")
-    front = heads
-    while not front.isEmpty():
-        more = c.where("not seed and dep = 'conj'").join(front.select(id_col, "sent_id", F.col("i").alias("head_i")), [id_col, "sent_id", "head_i"]).select(id_col, "sent_id", "i")
-        front = more.join(heads, [id_col, "sent_id", "i"], "left_anti").distinct()
-        heads = heads.union(front)
-    units = c.select(id_col, "sent_id").distinct().join(heads.groupBy(id_col, "sent_id").agg(F.count("*").alias("u")), [id_col, "sent_id"], "left")
-    units = units.groupBy(id_col).agg(F.sum(F.coalesce("u", F.lit(1))).alias("t_units"))
+    units = t_units(t.where("clause"), id_col)
     nominal = F.col("pos").isin(*NOMINAL)
     sums = t.groupBy(id_col).agg(
         F.count_if(~F.col("is_punct") & ~F.col("is_space")).alias("n_words"), F.count_if("clause").alias("clauses"),
         F.count_if((nominal & no("has_modifier")) | F.col("dep").isin(*NOMINAL_CLAUSE)).alias("complex_nominals"),
         F.count_if((F.col("dep") == "conj") & F.col("pos").isin(*COORDINATED) & ~F.col("clause")).alias("coordinated"),
         F.avg(F.when(F.col("clause"), F.col("n_children"))).alias("deps_per_clause"), F.avg(F.when(nominal, F.col("n_children"))).alias("deps_per_nominal"),
-        F.try_divide(F.count_if(F.col("pos").isin(*CONTENT_POS)), F.count_if(~F.col("is_punct") & ~F.col("is_space"))).alias("lexical_density"),
+        F.try_divide(F.count_if(F.col("pos").isin(*CONTENT_POS) & F.col("is_alpha")), F.count_if("is_alpha")).alias("lexical_density"),
     )
     s = sums.join(units, id_col, "left")
     per = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     return s.select(id_col, "n_words", "clauses", F.coalesce("t_units", F.lit(0)).alias("t_units"), per("clauses", "t_units").alias("clauses_per_tunit"), per("n_words", "clauses").alias("mean_length_of_clause"), per("complex_nominals", "clauses").alias("complex_nominals_per_clause"), per("coordinated", "clauses").alias("coord_phrases_per_clause"), "deps_per_clause", "deps_per_nominal", "lexical_density")
 
 
+def t_units(clauses: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """T-units of each text from its clause heads ``(id, sent_id, i, head_i, dep, seed)``.
+
+    A clause coordinated with an independent one is independent too. The clauses of a sentence, which
+    are few, are gathered by one shuffle, and the chains of coordination are followed in its array:
+    each step adds those whose head has been reached, and there are no more steps than clauses. A
+    sentence with clauses of which none is independent is one unit.
+    """
+    each = F.collect_list(F.struct("i", "head_i", (F.col("dep") == "conj").alias("conj"), "seed"))
+    s = clauses.groupBy(id_col, "sent_id").agg(each.alias("c")).select(id_col, F.explode(F.array("c")).alias("c"))
+    reached = "transform(filter(c, x -> x.seed), x -> x.i)"
+    step = "(r, k) -> array_union(r, transform(filter(c, x -> x.conj and array_contains(r, x.head_i)), x -> x.i))"
+    n = F.size(F.expr(f"aggregate(sequence(1, size(c)), {reached}, {step})"))
+    return s.groupBy(id_col).agg(F.sum(F.greatest(n, F.lit(1))).alias("t_units"))
+
+
 def phraseological(pairs: DataFrame, association: DataFrame, relations: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
     """Mean PMI of a text's pairs of each relation; pairs that the reference has not are left out."""
     known = pairs.where(F.col("relation").isin(*relations)).join(association.select("head_lemma", "relation", "dependent_lemma", "pmi"), ["head_lemma", "relation", "dependent_lemma"])

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents are dealt to all cores if the files have fewer splits than there are, as small files may be one split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 WORD = r"[\p{L}\p{N}]+"

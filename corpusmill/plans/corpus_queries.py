@@ -109,9 +109,9 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-@query("pii_replace", """select doc_id, replace(replace(replace(substr(text, 1, 60) || ' |||EMAIL_ADDRESS||| or |||PHONE_NUMBER||| at |||IP_ADDRESS|||', '|||EMAIL_ADDRESS|||', 'email@example.com'), '|||PHONE_NUMBER|||', '555-0100'), '|||IP_ADDRESS|||', '0.0.0.0') as clean from documents""")
+@query("pii_replace", """select doc_id, replace(replace(replace(text || ' |||EMAIL_ADDRESS||| or |||PHONE_NUMBER||| at |||IP_ADDRESS|||', '|||EMAIL_ADDRESS|||', 'email@example.com'), '|||PHONE_NUMBER|||', '555-0100'), '|||IP_ADDRESS|||', '0.0.0.0') as clean from documents""")
 def pii_replace(spark, sf_dir):
-    marked = F.concat(F.substring("text", 1, 60), F.lit(" |||EMAIL_ADDRESS||| or |||PHONE_NUMBER||| at |||IP_ADDRESS|||"))
+    marked = F.concat(F.col("text"), F.lit(" |||EMAIL_ADDRESS||| or |||PHONE_NUMBER||| at |||IP_ADDRESS|||"))
     return table(spark, sf_dir, "documents").select("doc_id", T.replace_pii(marked).alias("clean"))
 
 
@@ -161,9 +161,9 @@ def stratified_hash_sample(spark, sf_dir):
     return C.proportional_sample(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", "q", 200).select("lang", "doc_id")
 
 
-@query("balanced_draws", "with l as (select min(n) as least from (select count(*) n from labels group by quality)) select draw::int as draw, quality, doc_id from (select *, row_number() over (partition by quality, draw order by md5(doc_id || '|' || draw), doc_id) r from labels, unnest(range(0, 5)) t(draw)), l where r <= least")
+@query("balanced_draws", "with l as (select min(n) as least from (select count(*) n from labels group by quality)) select draw::int as draw, quality, doc_id from (select *, row_number() over (partition by quality, draw order by md5(doc_id || '|' || draw), doc_id) r from labels, unnest(range(0, 200)) t(draw)), l where r <= least")
 def balanced_draws(spark, sf_dir):
-    return C.balanced_draws(table(spark, sf_dir, "labels").select("quality", "doc_id"), "quality", "doc_id", 5).select("draw", "quality", "doc_id")
+    return C.balanced_draws(table(spark, sf_dir, "labels").select("quality", "doc_id"), "quality", "doc_id", 200).select("draw", "quality", "doc_id")
 
 
 @query("shuffle_order", "select source, md5(source || 'shuffle') as key, row_number() over (order by md5(source || 'shuffle'))::int as place from (select distinct source from documents)")

@@ -157,9 +157,9 @@ def _scored(spark, sf_dir):
     return S.trigram_rows(_toks(spark, sf_dir), "doc_id").join(s, ["token_0", "token_1", "token_2"]).select("doc_id", "i", F.col("token_2").alias("tok"), "surprisal_bits")
 
 
-@query("ngram_surprisal", f"with {_SQL_SURPRISAL} select doc_id, i, round(bits, 6)::double as surprisal_bits from scored where i < 20")
+@query("ngram_surprisal", f"with {_SQL_SURPRISAL} select doc_id, i, round(bits, 6)::double as surprisal_bits from scored")
 def ngram_surprisal(spark, sf_dir):
-    return _scored(spark, sf_dir).where("i < 20").select("doc_id", F.col("i").cast("long").alias("i"), F.round("surprisal_bits", 6).alias("surprisal_bits"))
+    return _scored(spark, sf_dir).select("doc_id", F.col("i").cast("long").alias("i"), F.round("surprisal_bits", 6).alias("surprisal_bits"))
 
 
 @query("essay_surprisal_summary", f"with {_SQL_SURPRISAL} select doc_id, count(*) as n_scored, round(avg(bits), 6)::double as mean_surprisal, round(coalesce(var_samp(bits), 0), 6)::double as var_surprisal, count(*) filter (bits >= 12) as n_high from scored group by 1")
@@ -218,14 +218,9 @@ def span_overlap_labels(spark, sf_dir):
 
 @query("similar_words")
 def similar_words(spark, sf_dir):
-    """The most frequent words with their nearest ones: candidates share a form with up to two letters out, and are verified by edit distance."""
+    """Every word of the corpus with its eight nearest ones."""
     counts = _toks(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("c"))
-    v = K.top(counts.where(F.length("tok").between(4, 8)), 500, F.desc("c"), "tok")
-    keys = v.select("tok", "c", F.explode(L.deletions(F.col("tok"))).alias("key"))
-    pairs = keys.alias("a").join(keys.alias("b"), "key").where("a.tok <> b.tok").select(F.col("a.tok").alias("word"), F.col("b.tok").alias("other"), F.col("b.c").alias("c")).distinct()
-    near = pairs.withColumn("distance", L.osa(F.col("word"), F.col("other"))).where("distance <= 2")
-    w = Window.partitionBy("word").orderBy("distance", F.desc("c"), "other")
-    return near.withColumn("pick", F.row_number().over(w)).where("pick <= 8").select("word", "other", "distance", "pick")
+    return L.similar_words(counts, "tok", "c", 8)
 
 
 @query("line_wrap")

@@ -8,7 +8,8 @@ from corpusmill.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind; the driver runs all.
-SAMPLE = ["top_trigrams", "gram_invariant", "clean_text", "code_fraction", "hash_split", "verify_by_source", "attestation_lookup", "span_overlap_labels", "morph_relation", "weighted_cohens_d", "zou_interval", "qcut_bands", "bh_adjust", "topk_probabilities", "reindex_complete", "events_incremental"]
+SAMPLE = ["top_trigrams", "gram_invariant", "clean_text", "code_fraction", "hash_split", "verify_by_source", "attestation_lookup", "span_overlap_labels", "morph_relation", "weighted_cohens_d", "zou_interval", "qcut_bands", "bh_adjust", "topk_probabilities", "reindex_complete", "events_incremental",
+    "depgram_counts", "pmi_pairs", "cube_means", "conditional_rates", "form_gap", "align_pieces", "contiguous_pieces", "gain_matrix", "bootstrap_difference", "permutation_test", "syntactic_features", "policy_divergence", "topk_position"]
 
 
 @pytest.fixture(scope="module")
@@ -34,5 +35,19 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, sql.fetchall())
 
 
+def test_similar_words_by_brute_force(spark):
+    from corpusmill.functions.lexicon import osa_distance, similar_words
+
+    words = "the then than them hte cat cats act at a bat bath path paths maths worlds word words sword swords".split()
+    counts = [(w, 3 + k % 4) for k, w in enumerate(words)]
+    got = {}
+    for r in similar_words(spark.createDataFrame(counts, "tok string, c long"), "tok", "c", 8).collect():
+        got.setdefault(r.word, {})[r.pick] = (r.other, r.distance)
+    of = dict(counts)
+    for w in words:
+        near = sorted((d, -of[o], o) for o in words if o != w and (d := osa_distance(w, o)) <= (2 if len(w) > 3 else 1))
+        assert [got.get(w, {}).get(k + 1) for k in range(min(8, len(near)))] == [(o, d) for d, _, o in near[:8]]
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
