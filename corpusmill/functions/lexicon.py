@@ -113,14 +113,21 @@ def similar_words(counts: DataFrame, word: str, count: str, most: int = 8) -> Da
     """``word, other, distance, pick``: for each word the nearest others, by distance and then by frequency.
 
     Words of more than three letters have partners up to distance 2, shorter ones 1. Candidates share a
-    form with so many letters left out; a form that two words share is one key of the join. Those too
-    far by plain edit distance less a swap are dropped in the JVM before the exact distance is taken.
+    form with so many letters left out; a form that two words share is one key of the join. Plain edit
+    distance settles most in the JVM; the exact one is taken where the letters allow a swap.
     """
     reach = F.when(F.length(word) > 3, 2).otherwise(1)
     keys = counts.select(F.col(word).alias("word"), F.col(count).alias("c"), reach.alias("reach"), F.explode(deletions(F.col(word))).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
     pairs = a.join(b, "key").where("a.word <> b.word and abs(length(a.word) - length(b.word)) <= a.reach")
     pairs = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("b.c").alias("c"), F.col("a.reach").alias("reach")).distinct()
-    near = pairs.where(F.levenshtein("word", "other") <= 2 * F.col("reach")).withColumn("distance", osa(F.col("word"), F.col("other"))).where("distance <= reach")
+    # a swap is two plain edits: within two of these the distance is known but for a lone swap, and beyond, a swap must be part of it
+    plain = F.levenshtein("word", "other", 4)
+    letters = lambda c: F.concat_ws("", F.array_sort(F.split(c, "")))
+    pairs = pairs.withColumn("plain", plain).where("plain >= 1 and plain <= 2 * reach")
+    pairs = pairs.withColumn("like", F.when((F.col("plain") == 1), 0).otherwise(F.levenshtein(letters(F.col("word")), letters(F.col("other")), 2)))
+    settled = pairs.where("plain <= 2 and (plain = 1 or like <> 0 or length(word) <> length(other))").withColumn("distance", F.col("plain"))
+    swapped = pairs.where("(plain = 2 and like = 0 and length(word) = length(other)) or (plain > 2 and like between 0 and 4 - plain + if(plain = 3, 1, 0))")
+    near = settled.unionByName(swapped.withColumn("distance", osa(F.col("word"), F.col("other")))).where("distance <= reach")
     w = Window.partitionBy("word").orderBy("distance", F.desc("c"), "other")
     return near.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most).select("word", "other", "distance", "pick")
