@@ -113,21 +113,28 @@ def similar_words(counts: DataFrame, word: str, count: str, most: int = 8) -> Da
     """``word, other, distance, pick``: for each word the nearest others, by distance and then by frequency.
 
     Words of more than three letters have partners up to distance 2, shorter ones 1. Candidates share a
-    form with so many letters left out; a form that two words share is one key of the join. Plain edit
-    distance settles most in the JVM; the exact one is taken where the letters allow a swap.
+    form with so many letters left out on either side; a form that two words share is one key of the join.
+    Plain edit distance, and where that is too much for the reach the letters in order, settle most in the
+    JVM before pairs found by several keys are made one; the exact distance is taken where the letters
+    allow a swap.
     """
     reach = F.when(F.length(word) > 3, 2).otherwise(1)
-    keys = counts.select(F.col(word).alias("word"), F.col(count).alias("c"), reach.alias("reach"), F.explode(deletions(F.col(word))).alias("key"))
+    letters = F.concat_ws("", F.array_sort(F.split(word, "")))
+    words = counts.select(F.col(word).alias("word"), F.col(count).alias("c"), reach.alias("reach"), letters.alias("letters"))
+    # rows are few before the explosion and many after the join, so the number of partitions is set, not chosen by size
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = words.repartition(parts, "word").withColumn("key", F.explode(deletions(F.col("word")))).withColumn("left_out", F.length("word") - F.length("key"))
+    keys = keys.repartition(parts, "key")
     a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, "key").where("a.word <> b.word and abs(length(a.word) - length(b.word)) <= a.reach")
-    pairs = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("b.c").alias("c"), F.col("a.reach").alias("reach")).distinct()
-    # a swap is two plain edits: within two of these the distance is known but for a lone swap, and beyond, a swap must be part of it
-    plain = F.levenshtein("word", "other", 4)
-    letters = lambda c: F.concat_ws("", F.array_sort(F.split(c, "")))
-    pairs = pairs.withColumn("plain", plain).where("plain >= 1 and plain <= 2 * reach")
-    pairs = pairs.withColumn("like", F.when((F.col("plain") == 1), 0).otherwise(F.levenshtein(letters(F.col("word")), letters(F.col("other")), 2)))
-    settled = pairs.where("plain <= 2 and (plain = 1 or like <> 0 or length(word) <> length(other))").withColumn("distance", F.col("plain"))
-    swapped = pairs.where("(plain = 2 and like = 0 and length(word) = length(other)) or (plain > 2 and like between 0 and 4 - plain + if(plain = 3, 1, 0))")
-    near = settled.unionByName(swapped.withColumn("distance", osa(F.col("word"), F.col("other")))).where("distance <= reach")
+    pairs = a.join(b, "key").where("greatest(a.left_out, b.left_out) <= a.reach and a.word <> b.word")
+    pairs = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("b.c").alias("c"), F.col("a.reach").alias("reach"), F.col("a.letters").alias("x"), F.col("b.letters").alias("y"))
+    # a swap is two plain edits: a lone swap lies at 2, a swap and an edit at 3 at most, two swaps at 4 at most, these with the same letters
+    pairs = pairs.withColumn("plain", F.levenshtein("word", "other", 4))
+    settled = (F.col("plain") == 1) | ((F.col("plain") == 2) & (F.col("x") != F.col("y")))
+    swap = ((F.col("plain") == 2) & (F.col("x") == F.col("y"))) | ((F.col("reach") == 2) & (((F.col("plain") == 4) & (F.col("x") == F.col("y"))) | ((F.col("plain") == 3) & (F.levenshtein("x", "y", 2) >= 0))))
+    pairs = pairs.where((settled & (F.col("plain") <= F.col("reach"))) | swap)
+    pairs = pairs.select("word", "other", "c", "reach", F.when(settled, F.col("plain")).alias("distance")).distinct()
+    exact = pairs.where("distance is null").withColumn("distance", osa(F.col("word"), F.col("other"))).where("distance <= reach")
+    near = pairs.where("distance is not null").unionByName(exact)
     w = Window.partitionBy("word").orderBy("distance", F.desc("c"), "other")
     return near.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most).select("word", "other", "distance", "pick")
