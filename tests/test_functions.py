@@ -86,10 +86,11 @@ def test_syntax(spark):
         ("c", 0, "PRON", "PRP", "nsubj", 1, False), ("c", 1, "VERB", "VBD", "ROOT", 1, True), ("c", 2, "SCONJ", "IN", "mark", 4, False), ("c", 3, "PRON", "PRP", "nsubj", 4, False), ("c", 4, "VERB", "VBD", "ccomp", 1, True),
         ("c", 5, "CCONJ", "CC", "cc", 4, False), ("c", 6, "PRON", "PRP", "nsubj", 7, False), ("c", 7, "VERB", "VBD", "conj", 4, True),
     ]
-    df = spark.createDataFrame(rows, "doc_id string, i int, pos string, tag string, dep string, head_i int, finite boolean").withColumns({"sent_id": F.lit(0), "is_punct": F.lit(False), "is_space": F.lit(False)})
+    df = spark.createDataFrame(rows, "doc_id string, i int, pos string, tag string, dep string, head_i int, finite boolean").withColumns({"sent_id": F.lit(0), "is_punct": F.lit(False), "is_space": F.lit(False), "is_alpha": F.lit(True)})
     got = {r.doc_id: r for r in syntactic(df).collect()}
     assert [(got[k].clauses, got[k].t_units) for k in "abc"] == [(2, 2), (1, 1), (3, 1)]
     assert got["b"].coord_phrases_per_clause == 1.0 and got["a"].coord_phrases_per_clause == 0.0
+    assert got["a"].lexical_density == 0.4
 
 
 def test_annotator_isolates_errors(spark):
