@@ -79,6 +79,51 @@ def topk_mass(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
 
+def delta_vectors(best: DataFrame, key: str, observed: str, vectors: DataFrame) -> DataFrame:
+    """``key, delta``: the mean vector of the predicted ids, by their probabilities made to sum to one, less the observed id's vector.
+
+    ``best`` holds arrays ``ids`` and ``p`` of at most k entries, ``vectors`` an ``id`` and a ``vector``; ids without a vector, and a null or
+    missing observed id, count as zero vectors. A group holds at most k + 1 vectors.
+    """
+    mass = topk_mass(F.col("p"))
+    term = lambda i, p: F.struct(i.cast("long").alias("id"), p.alias("p"))
+    terms = F.concat(F.transform(F.arrays_zip("ids", "p"), lambda x: term(x["ids"], F.try_divide(x["p"], mass))), F.array(term(F.col(observed), F.lit(-1.0))))
+    long = best.select(key, F.inline(terms)).where("id is not null")
+    sides = long.join(vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v")), "id")
+    held = sides.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "p", "v"))).alias("t"))
+    zero = F.transform(F.col("t")[0]["v"], lambda x: F.lit(0.0))
+    delta = F.aggregate("t", zero, lambda a, x: F.zip_with(a, x["v"], lambda m, n: m + x["p"] * n))
+    return held.select(key, delta.alias("delta"))
+
+
+def component_summary(rows: DataFrame, component: str, key: str, weight: str, value: str, band: str, word: str, bands: list[str], top: int) -> DataFrame:
+    """Per component: share of all weight, rows with weight, weighted mean of the value, each band's share of the weight and that less its share of
+    the rows, and over the ``top`` rows of most weight (ties by key) the most frequent word, its share and how many words cover half of them.
+
+    A weight that is null counts as 0; a component without weight has null shares.
+    """
+    x = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    r = rows.select(component, key, x.alias("__w"), F.col(value).alias("__v"), F.col(band).alias("__b"), F.col(word).alias("__t"))
+    of = lambda b: F.sum(F.when(F.col("__b") == b, F.col("__w")).otherwise(0.0))
+    n = lambda b: F.count_if(F.col("__b") == b)
+    sums = r.groupBy(component).agg(
+        F.sum("__w").alias("__s"), F.count_if(F.col("__w") > 0).alias("n_nonzero"), F.try_divide(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("mean_value"),
+        *[F.try_divide(of(b), F.sum("__w")).alias(f"mix_{b}") for b in bands],
+        *[(F.try_divide(of(b), F.sum("__w")) - ratio(n(b), F.count("__b"))).alias(f"mix_{b}_minus_base") for b in bands],
+    )
+    total = sums.agg(F.sum("__s").alias("__all"))
+    ordered = Window.partitionBy(component).orderBy(F.desc("__w"), key)
+    best = r.withColumn("__place", F.row_number().over(ordered)).where(F.col("__place") <= top)
+    words = best.groupBy(component, "__t").agg(F.count("*").alias("__n"))
+    by_count = Window.partitionBy(component).orderBy(F.desc("__n"), "__t")
+    words = words.withColumns({"__at": F.row_number().over(by_count), "__sum": F.sum("__n").over(by_count.rowsBetween(Window.unboundedPreceding, 0)), "__of": F.sum("__n").over(Window.partitionBy(component))})
+    heads = words.groupBy(component).agg(
+        F.max_by("__t", -F.col("__at")).alias("top_word"), (F.max("__n") / F.max("__of")).alias("top_word_share"), F.min(F.when(F.col("__sum") * 2 >= F.col("__of"), F.col("__at"))).alias("words_to_half")
+    )
+    out = sums.crossJoin(F.broadcast(total)).withColumn("loading_share", F.try_divide("__s", "__all"))  # the total is one row
+    return out.drop("__s", "__all").join(heads, component, "left")
+
+
 def align_pieces(words: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     """Give each piece to the word that holds its first character, and tell whether its last one is another's.
 

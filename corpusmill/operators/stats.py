@@ -56,13 +56,59 @@ def fairness(ds: DataFrame, group: str, by: list[str], flag: float = 0.10) -> Da
     return ds.groupBy(*by).agg(F.max(a).alias("max_d"), F.min_by(group, F.struct(-a, F.col(group))).alias("worst"), F.count_if(a >= flag).alias("flagged"))
 
 
-def pareto_front(points: DataFrame, key: str, high: str, low: str) -> DataFrame:
-    """Points that no other equals or beats on both with one strictly better; for few points, as the other side is broadcast whole."""
-    if (n := points.count()) > 100_000:
-        raise ValueError(f"a front is for at most 100,000 points, not {n}")
-    p, o = points.alias("p"), F.broadcast(points.alias("o"))
-    worse = (F.col(f"o.{high}") >= F.col(f"p.{high}")) & (F.col(f"o.{low}") <= F.col(f"p.{low}")) & ((F.col(f"o.{high}") > F.col(f"p.{high}")) | (F.col(f"o.{low}") < F.col(f"p.{low}")))
-    return p.join(o, worse, "left_anti")
+def pareto_front(points: DataFrame, key: str, high: str, low: str, *group: str, blocks: int = 256) -> DataFrame:
+    """Points, within their group, that no other equals or beats on both with one strictly better; points without both values are left out, equal points stay or go together.
+
+    A point is on the front if it has the least ``low`` of its ``high`` and less than all that are higher. Blocks of ``high`` split by quantiles
+    carry the least ``low`` of the blocks above, so that no window holds more than the distinct values of a block, and any number of points works.
+    """
+    points = points.where(F.col(high).isNotNull() & F.col(low).isNotNull())
+    edges = points.agg(F.percentile_approx(high, [k / blocks for k in range(1, blocks)], 10_000)).first()[0] or []
+    above = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e > F.col("__high"))) if edges else F.lit(0)
+    group_of = [F.struct(*map(F.col, group)).alias("__group")] if group else [F.lit(0).alias("__group")]
+    best = points.groupBy(*group_of, F.col(high).alias("__high")).agg(F.min(low).alias("__low"))
+    best = best.withColumn("__block", above)
+    first = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    least = best.groupBy("__group", "__block").agg(F.min("__low").alias("__least"))
+    least = least.select("__group", "__block", F.min("__least").over(first("__group").orderBy("__block")).alias("__before"))
+    inside = best.withColumn("__inside", F.min("__low").over(first("__group", "__block").orderBy(F.desc("__high"))))
+    front = inside.join(least, ["__group", "__block"]).where("coalesce(__low < least(__before, __inside), true)").select("__group", "__high", "__low")
+    mine = points.select(*group_of, F.struct("*").alias("__row"))
+    on = [mine["__group"] == front["__group"], mine[f"__row.{high}"] == front["__high"], mine[f"__row.{low}"] == front["__low"]]
+    return mine.join(front, on, "left_semi").select("__row.*")
+
+
+def contrasts(df: DataFrame, target: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``first, second, n, difference, low, high, excludes_0`` of the absolute correlations with the target of two columns at a time.
+
+    Rows without all three values are left out of a pair; all pairs are one aggregate, and a pair without a correlation has nulls.
+    """
+    def of(a: str, b: str) -> Column:
+        whole = F.col(target).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
+        t, x, y = (F.when(whole, F.col(c).cast("double")) for c in (target, a, b))
+        r = lambda u, v: F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
+        return F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.count_if(whole).alias("n"), r(t, x).alias("x"), r(t, y).alias("y"), r(x, y).alias("xy"))
+
+    c = df.agg(F.array(*[of(a, b) for a, b in pairs]).alias("c")).select(F.inline("c"))
+    low, high = zou_interval(F.abs("x"), F.abs("y"), F.col("xy") * F.signum("x") * F.signum("y"), F.col("n"))
+    c = c.select("first", "second", "n", (F.abs("x") - F.abs("y")).alias("difference"), low.alias("low"), high.alias("high"))
+    return c.withColumn("excludes_0", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+def confound_bound(df: DataFrame, value: str, stratum: str, group: str) -> DataFrame:
+    """``group, d_plain, d_within, kept``: d of each group against all others, the same within strata, and the share of it that strata leave."""
+    plain = weighted_d(df.withColumn("__all", F.lit(1)), value, "__all", group).withColumnRenamed("d", "d_plain")
+    within = weighted_d(df, value, stratum, group).withColumnRenamed("d", "d_within")
+    return plain.join(within, group, "left").withColumn("kept", F.try_divide("d_within", "d_plain"))
+
+
+def ranks(value: str, ties: list[str], *group: str) -> dict[str, Column]:
+    """Places from 1: ties at their mean, ties in the order given, from the greatest, and the share of rows at or below; nulls come first."""
+    w = Window.partitionBy(*group)
+    return {
+        "average": average_rank(value, *group), "first": F.row_number().over(w.orderBy(value, *ties)), "from_top": F.rank().over(w.orderBy(F.desc_nulls_last(value))),
+        "share": F.cume_dist().over(w.orderBy(value)),
+    }
 
 
 def residualize(df: DataFrame, value: str, factor: str) -> DataFrame:

@@ -294,3 +294,83 @@ round(deps_per_clause, 6) as deps_per_clause, round(deps_per_nominal, 6) as deps
 def syntactic_features(spark, sf_dir):
     s = E.syntactic(_annotated(spark, sf_dir))
     return s.select("doc_id", "n_words", "clauses", "t_units", *_six("clauses_per_tunit", "mean_length_of_clause", "complex_nominals_per_clause", "coord_phrases_per_clause", "deps_per_clause", "deps_per_nominal", "lexical_density"))
+
+
+_SQL_POINTS = """p as (select o_orderpriority as level, l_returnflag || '/' || year(l_shipdate) as config, avg(l_quantity) as high, avg(l_linenumber) as low from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)"""
+
+
+@query("front_by_level", f"with {_SQL_POINTS} select level, config, not exists (select 1 from p o where o.level = p.level and o.high >= p.high and o.low <= p.low and (o.high > p.high or o.low < p.low)) as front from p")
+def front_by_level(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("level"))
+    li = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    p = li.groupBy("level", F.concat_ws("/", "l_returnflag", F.year("l_shipdate").cast("string")).alias("config")).agg(F.avg("l_quantity").alias("high"), F.avg("l_linenumber").alias("low"))
+    front = S.pareto_front(p, "config", "high", "low", "level").select("level", "config", F.lit(True).alias("front"))
+    return p.select("level", "config").join(front, ["level", "config"], "left").withColumn("front", F.coalesce("front", F.lit(False)))
+
+
+_PAIRS = [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax")]
+
+
+def _sql_contrast(a, b):
+    return f"select '{a}' as first, '{b}' as second, count(*) as n, corr(l_extendedprice, {a}) as x, corr(l_extendedprice, {b}) as y, corr({a}, {b}) as xy from lineitem where l_extendedprice is not null and {a} is not null and {b} is not null"
+
+
+@query("contrasts", f"""with c as ({' union all '.join(_sql_contrast(a, b) for a, b in _PAIRS)}),
+s as (select first, second, n, abs(x) as x, abs(y) as y, xy * sign(x) * sign(y) as xy, 1.959963984540054 / sqrt(n - 3) as h from c),
+i as (select *, tanh(atanh(x) - h) as xl, tanh(atanh(x) + h) as xu, tanh(atanh(y) - h) as yl, tanh(atanh(y) + h) as yu, ((xy - 0.5 * x * y) * (1 - x * x - y * y - xy * xy) + xy ** 3) / ((1 - x * x) * (1 - y * y)) as k from s),
+r as (select first, second, n, x - y as d, x - y - sqrt(greatest(0, (x - xl) ** 2 + (yu - y) ** 2 - 2 * k * (x - xl) * (yu - y))) as lo, x - y + sqrt(greatest(0, (xu - x) ** 2 + (y - yl) ** 2 - 2 * k * (xu - x) * (y - yl))) as hi from i)
+select first, second, n, round(d, 6) as difference, round(lo, 6) as low, round(hi, 6) as high, lo > 0 or hi < 0 as excludes_0 from r""")
+def contrasts(spark, sf_dir):
+    c = S.contrasts(table(spark, sf_dir, "lineitem"), "l_extendedprice", _PAIRS)
+    return c.select("first", "second", "n", *_six("difference", "low", "high"), "excludes_0")
+
+
+_SQL_D = """select g, sum(d * n) / sum(n) as d from (select {s} as st, g, n, (m - m2) / sqrt((ss + ss2) / (n + n2 - 2)) as d from (
+  select *, q - s * s / n as ss, q2 - s2 * s2 / n2 as ss2, s / n as m, s2 / n2 as m2 from (select *, sum(n) over (partition by {s}) - n as n2, sum(s) over (partition by {s}) - s as s2, sum(q) over (partition by {s}) - q as q2
+  from (select {s}, g, count(*) as n, sum(x) as s, sum(x * x) as q from b group by all)) where n >= 2 and n2 >= 2)) group by 1"""
+
+
+@query("confound_bound", f"""with b as (select l_returnflag as g, l_linenumber as st, 1 as one, l_quantity as x from lineitem where l_quantity is not null),
+p as ({_SQL_D.format(s='one')}), w as ({_SQL_D.format(s='st')})
+select g as l_returnflag, round(p.d, 6) as d_plain, round(w.d, 6) as d_within, round(w.d / p.d, 4) as kept from p left join w using (g)""")
+def confound_bound(spark, sf_dir):
+    c = S.confound_bound(table(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber", "l_returnflag")
+    return c.select("l_returnflag", *_six("d_plain", "d_within"), F.round("kept", 4).alias("kept"))
+
+
+@query("rank_ties", """select p_partkey, rank() over (partition by p_brand order by p_size) + (count(*) over (partition by p_brand, p_size) - 1) / 2.0::double as average,
+row_number() over (partition by p_brand order by p_size, p_partkey) as first, rank() over (partition by p_brand order by p_size desc) as from_top, round(cume_dist() over (partition by p_brand order by p_size), 6) as share from part""")
+def rank_ties(spark, sf_dir):
+    r = S.ranks("p_size", ["p_partkey"], "p_brand")
+    return table(spark, sf_dir, "part").withColumns(r).select("p_partkey", "average", *[F.col(c).cast("long").alias(c) for c in ("first", "from_top")], F.round("share", 6).alias("share"))
+
+
+@query("delta_vectors", """with e as (select vec_id, unnest(embedding)::double as s, generate_subscripts(embedding, 1) - 1 as id from embeddings), m as (select vec_id, id, exp(s) / sum(exp(s)) over (partition by vec_id) as p from e),
+k as (select *, row_number() over (partition by vec_id order by p desc, id) as rank from m), t as (select vec_id, id, p / sum(p) over (partition by vec_id) as p from k where rank <= 10 union all select vec_id, vec_id % 64, -1 from embeddings),
+v as (select vec_id as id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings) select vec_id, dim, round(sum(p * x), 6) + 0.0 as delta from t join v using (id) group by 1, 2""")
+def delta_vectors(spark, sf_dir):
+    from corpusmill.operators import sequences as Q
+
+    e = table(spark, sf_dir, "embeddings")
+    best = e.select("vec_id", Q.topk(Q.softmax(F.transform("embedding", lambda x: x.cast("double"))), 10).alias("best"), (F.col("vec_id") % 64).alias("obs"))
+    d = P.delta_vectors(best.select("vec_id", F.col("best.id").alias("ids"), F.col("best.p").alias("p"), "obs"), "vec_id", "obs", e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return d.select("vec_id", F.posexplode("delta").alias("dim", "delta")).select("vec_id", F.col("dim").cast("long").alias("dim"), (F.round("delta", 6) + 0.0).alias("delta"))
+
+
+_SQL_MIX = ", ".join(f"sum(w) filter (b = '{b}') / sum(w) as mix_{b}, sum(w) filter (b = '{b}') / sum(w) - count(*) filter (b = '{b}') / count(b) as mix_{b}_minus_base" for b in ("low", "mid", "high"))
+_MIX = [f"mix_{b}{x}" for b in ("low", "mid", "high") for x in ("", "_minus_base")]
+
+
+@query("component_summary", f"""with r as (select vec_id, component, greatest(x, 0) as w, vec_id % 101 as v, case label % 3 when 0 then 'low' when 1 then 'mid' else 'high' end as b, label as t
+  from (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as component from embeddings)),
+s as (select component, sum(w) / (select sum(w) from r) as loading_share, count(*) filter (w > 0) as n_nonzero, sum(w * v) / sum(w) as mean_value, {_SQL_MIX} from r group by 1),
+k as (select component, t, count(*) as n from (select *, row_number() over (partition by component order by w desc, vec_id) as place from r) where place <= 100 group by 1, 2),
+a as (select *, row_number() over (partition by component order by n desc, t) as nth, sum(n) over (partition by component order by n desc, t rows unbounded preceding) as c, sum(n) over (partition by component) as total from k),
+h as (select component, min(t) filter (nth = 1) as top_word, max(n / total) as top_word_share, min(nth) filter (2 * c >= total) as words_to_half from a group by 1)
+select component, n_nonzero, top_word, words_to_half, {', '.join(f'round({c}, 6) as {c}' for c in ['loading_share', 'mean_value', 'top_word_share', *_MIX])} from s left join h using (component)""")
+def component_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("component", "x"))
+    band = F.when(F.col("label") % 3 == 0, "low").when(F.col("label") % 3 == 1, "mid").otherwise("high")
+    r = e.select("vec_id", F.col("component").cast("long").alias("component"), F.greatest(F.col("x").cast("double"), F.lit(0.0)).alias("w"), (F.col("vec_id") % 101).alias("v"), band.alias("b"), F.col("label").alias("t"))
+    c = P.component_summary(r, "component", "vec_id", "w", "v", "b", "t", ["low", "mid", "high"], 100)
+    return c.select("component", "n_nonzero", "top_word", F.col("words_to_half").cast("long").alias("words_to_half"), *_six("loading_share", "mean_value", "top_word_share", *_MIX))

@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind; the driver runs all.
 SAMPLE = ["top_trigrams", "gram_invariant", "clean_text", "code_fraction", "hash_split", "verify_by_source", "attestation_lookup", "span_overlap_labels", "morph_relation", "weighted_cohens_d", "zou_interval", "qcut_bands", "bh_adjust", "topk_probabilities", "reindex_complete", "events_incremental",
-    "depgram_counts", "pmi_pairs", "cube_means", "conditional_rates", "form_gap", "align_pieces", "contiguous_pieces", "gain_matrix", "bootstrap_difference", "permutation_test", "syntactic_features", "policy_divergence", "topk_position"]
+    "depgram_counts", "pmi_pairs", "cube_means", "conditional_rates", "form_gap", "align_pieces", "contiguous_pieces", "gain_matrix", "bootstrap_difference", "permutation_test", "syntactic_features", "policy_divergence", "topk_position",
+    "front_by_level", "contrasts", "confound_bound", "rank_ties", "component_summary"]
 
 
 @pytest.fixture(scope="module")
@@ -49,5 +50,27 @@ def test_similar_words_by_brute_force(spark):
         assert [got.get(w, {}).get(k + 1) for k in range(min(8, len(near)))] == [(o, d) for d, _, o in near[:8]]
 
 
+def test_front_by_brute_force(spark):
+    from corpusmill.operators import stats
+
+    points = [(g, k, k * 37 % 23 / 2.0, k * k % 19 / 2.0) for g in ("a", "b", None) for k in range(60)] + [("a", 60, 1e9, 1e9), ("a", 61, None, 0.0), ("b", 62, 0.0, None)]
+    df = spark.createDataFrame(points, "g string, k int, high double, low double")
+    whole = [p for p in points if None not in p[2:]]
+    for group in ((), ("g",)):
+        beats = lambda o, p: (not group or o[0] == p[0]) and o[2] >= p[2] and o[3] <= p[3] and o[2:] != p[2:]
+        want = {p for p in whole if not any(beats(o, p) for o in whole)}
+        for blocks in (1, 2, 7, 256):
+            assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in stats.pareto_front(df, "k", "high", "low", *group, blocks=blocks).collect())
+    assert stats.pareto_front(df.limit(0), "k", "high", "low", "g").count() == 0
+
+
+def test_delta_vectors_by_hand(spark):
+    from corpusmill.operators.profiles import delta_vectors
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id long, vector array<double>")
+    best = spark.createDataFrame([(10, [1, 2], [0.25, 0.25], 1), (11, [2, 9], [0.5, 0.5], None), (12, [], [], 2)], "k int, ids array<long>, p array<double>, o long")
+    assert {r.k: r.delta for r in delta_vectors(best, "k", "o", vectors).collect()} == {10: [-0.5, 1.0], 11: [0.0, 1.0], 12: [0.0, -2.0]}
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
