@@ -104,7 +104,8 @@ def proficiency_profile(spark, sf_dir):
 select model, round(difference, 6) as difference, round(ratio, 6) as ratio, round(r, 6) as r, rank() over (order by joint desc) as rank_joint, rank() over (order by density desc) as rank_density, rank() over (order by joint desc) - rank() over (order by density desc) as moved from m""")
 def policy_divergence(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("model"), F.col("l_quantity").alias("joint"), (F.col("l_extendedprice") / 1000).alias("density"))
-    m = p.groupBy("model").agg(F.avg("joint").alias("joint"), F.avg("density").alias("density"), F.avg(F.col("joint") - F.col("density")).alias("difference"), (F.avg("joint") / F.avg("density")).alias("ratio"), S.pearson("joint", "density").alias("r"))
+    mean = P.ordered_mean
+    m = p.groupBy("model").agg(mean("joint").alias("joint"), mean("density").alias("density"), mean(F.col("joint") - F.col("density")).alias("difference"), (mean("joint") / mean("density")).alias("ratio"), S.pearson("joint", "density").alias("r"))
     rank = lambda c: F.rank().over(Window.orderBy(F.desc(c))).cast("long")  # noqa: E731  a row a model
     m = m.withColumns({"rank_joint": rank("joint"), "rank_density": rank("density")})
     return m.select("model", *_six("difference", "ratio", "r"), "rank_joint", "rank_density", (F.col("rank_joint") - F.col("rank_density")).alias("moved"))
