@@ -25,6 +25,11 @@ def score_with(docs: DataFrame, scorer: Callable[[list[str]], list[list[dict]]],
     return docs.select(id_col, text_col).mapInPandas(run, schema)
 
 
+def add_k_bits(count: str, context: str, size: str, k: float = 0.1) -> Column:
+    """-log2 of a trigram's add-k probability, from its count, its context's and the vocabulary's size."""
+    return -F.log2((F.col(count) + k) / (F.col(context) + k * F.col(size)))
+
+
 def ngram_surprisal(grams: DataFrame, k: float = 0.1) -> DataFrame:
     """The scorer without a model: -log2 of add-k trigram probabilities, ``token_0..2, surprisal_bits``.
 
@@ -32,8 +37,8 @@ def ngram_surprisal(grams: DataFrame, k: float = 0.1) -> DataFrame:
     """
     context = grams.groupBy("token_0", "token_1").agg(F.sum("count").alias("c2"))
     size = grams.agg(F.countDistinct("token_2").alias("v"))
-    p = (F.col("count") + k) / (F.col("c2") + k * F.col("v"))
-    return grams.join(context, ["token_0", "token_1"]).crossJoin(F.broadcast(size)).select("token_0", "token_1", "token_2", (-F.log2(p)).alias("surprisal_bits"))
+    bits = add_k_bits("count", "c2", "v", k)
+    return grams.join(context, ["token_0", "token_1"]).crossJoin(F.broadcast(size)).select("token_0", "token_1", "token_2", bits.alias("surprisal_bits"))
 
 
 def trigram_rows(toks: DataFrame, key: str) -> DataFrame:

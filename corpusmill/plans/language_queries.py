@@ -11,6 +11,7 @@ from corpusmill.operators import features as E
 from corpusmill.operators import scoring as S
 from corpusmill.operators import sequences as Q
 from corpusmill.operators import tokens as K
+from corpusmill.operators import trigrams as G
 from corpusmill.plans.common import SQL_GRAMS, SQL_PAIRS, SQL_SENTS, SQL_TOKS, WORD, table
 from corpusmill.plans.registry import query
 
@@ -157,9 +158,17 @@ def _scored(spark, sf_dir):
     return S.trigram_rows(_toks(spark, sf_dir), "doc_id").join(s, ["token_0", "token_1", "token_2"]).select("doc_id", "i", F.col("token_2").alias("tok"), "surprisal_bits")
 
 
+def _vocabulary(docs):
+    """The number of different words, as one row."""
+    return docs.select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("tok")).distinct().agg(F.count("*").alias("v"))
+
+
 @query("ngram_surprisal", f"with {_SQL_SURPRISAL} select doc_id, i, round(bits, 6)::double as surprisal_bits from scored")
 def ngram_surprisal(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", F.col("i").cast("long").alias("i"), F.round("surprisal_bits", 6).alias("surprisal_bits"))
+    docs = _docs(spark, sf_dir)
+    at = G.trigram_counts_at(docs).crossJoin(F.broadcast(_vocabulary(docs)))
+    bits = F.floor(S.add_k_bits("c3", "c2", "v") * 1e6 + 0.5) / 1e6  # as SQL rounds what is not below 0; decimals of each word take longer than the rest
+    return at.select("doc_id", F.col("i").cast("long").alias("i"), bits.alias("surprisal_bits"))
 
 
 @query("essay_surprisal_summary", f"with {_SQL_SURPRISAL} select doc_id, count(*) as n_scored, round(avg(bits), 6)::double as mean_surprisal, round(coalesce(var_samp(bits), 0), 6)::double as var_surprisal, count(*) filter (bits >= 12) as n_high from scored group by 1")
