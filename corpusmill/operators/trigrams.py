@@ -202,18 +202,26 @@ def text_summaries(docs: DataFrame, size: DataFrame, k: float, tau: float, id_co
 
     def reply(rows: pa.Table) -> pa.Table:
         c3, c2, begins = _counted(rows)
-        out = []
-        for row, (u, t, grams, places) in enumerate(zip(*(rows[x].to_pylist() for x in ("n_grams", "n_places", "grams", "places")), strict=True)):
-            ident, _ = _arrays(places, t, "<i8", "<i4")
-            n = _arrays(grams, u, "<i4", "<i4", "<i4", "<i4")[3]
-            own = slice(begins[row], begins[row + 1])
-            x, y = np.repeat(c3[own], n), np.repeat(c2[own], n)
+        out, held, n_held = [], [], 0
+
+        def deal():
+            ident, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
             to = ((ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % slices
             order = np.lexsort((ident, to))
             to, ident, x, y = to[order], ident[order], x[order], y[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
-            for lo, hi in zip(cut, [*cut[1:], t], strict=True):
+            for lo, hi in zip(cut, [*cut[1:], len(to)], strict=True):
                 out.append((int(to[lo]), hi - lo, _planes(np.diff(ident[lo:hi], prepend=0).astype("<i8"), x[lo:hi].astype("<i8"), y[lo:hi].astype("<i8"))))
+
+        for row, (u, t, grams, places) in enumerate(zip(*(rows[x].to_pylist() for x in ("n_grams", "n_places", "grams", "places")), strict=True)):
+            ident, _ = _arrays(places, t, "<i8", "<i4")
+            n = _arrays(grams, u, "<i4", "<i4", "<i4", "<i4")[3]
+            own = slice(begins[row], begins[row + 1])
+            held.append((ident, np.repeat(c3[own], n), np.repeat(c2[own], n)))
+            n_held += t
+            if n_held >= 2 * PIECE or row + 1 == len(rows):  # one row a part for so many places, not for each packed row
+                deal()
+                held, n_held = [], 0
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "counts"])
 
     def total(rows: pa.Table) -> pa.Table:

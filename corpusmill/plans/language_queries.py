@@ -173,7 +173,8 @@ def ngram_surprisal(spark, sf_dir):
 
 @query("essay_surprisal_summary", f"with {_SQL_SURPRISAL} select doc_id, count(*) as n_scored, round(avg(bits), 6)::double as mean_surprisal, round(coalesce(var_samp(bits), 0), 6)::double as var_surprisal, count(*) filter (bits >= 12) as n_high from scored group by 1")
 def essay_surprisal_summary(spark, sf_dir):
-    e = S.essay_summary(_scored(spark, sf_dir), "doc_id", tau=12.0)
+    docs = _docs(spark, sf_dir)
+    e = G.text_summaries(docs, _vocabulary(docs), 0.1, 12.0)
     return e.select("doc_id", "n_scored", F.round("mean_surprisal", 6).alias("mean_surprisal"), F.round("var_surprisal", 6).alias("var_surprisal"), "n_high")
 
 
