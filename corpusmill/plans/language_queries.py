@@ -153,11 +153,6 @@ tri as (select doc_id, i, coalesce(lag(tok, 2) over w, '#') as token_0, coalesce
 scored as (select doc_id, i, token_2 as tok, bits from tri join s using (token_0, token_1, token_2))"""
 
 
-def _scored(spark, sf_dir):
-    s = S.ngram_surprisal(K.ngrams(_docs(spark, sf_dir)))
-    return S.trigram_rows(_toks(spark, sf_dir), "doc_id").join(s, ["token_0", "token_1", "token_2"]).select("doc_id", "i", F.col("token_2").alias("tok"), "surprisal_bits")
-
-
 def _vocabulary(docs):
     """The number of different words, as one row."""
     return docs.select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("tok")).distinct().agg(F.count("*").alias("v"))
@@ -182,8 +177,9 @@ def essay_surprisal_summary(spark, sf_dir):
 def tau_threshold(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     cutoff = docs.agg(F.percentile("n_chars", 0.6667).alias("cutoff"))
-    strong = docs.select("doc_id", "n_chars").crossJoin(F.broadcast(cutoff)).where("n_chars >= cutoff").select("doc_id")
-    return _scored(spark, sf_dir).join(strong, "doc_id").agg(F.round(F.percentile("surprisal_bits", 0.9), 6).alias("tau"), F.count("*").alias("n"))
+    classes = G.trigram_count_classes(docs.crossJoin(F.broadcast(cutoff)), F.col("n_chars") >= F.col("cutoff"))
+    scored = classes.crossJoin(F.broadcast(_vocabulary(docs))).withColumn("bits", S.add_k_bits("c3", "c2", "v"))
+    return scored.agg(F.round(F.percentile("bits", 0.9, F.col("n")), 6).alias("tau"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query("sufficient_stat_update", """with r as (select l_orderkey as k, count(*) as n, avg(l_quantity) as mean, coalesce(var_samp(l_quantity), 0) as var from lineitem group by 1),
