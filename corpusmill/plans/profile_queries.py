@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.operators import features as E
+from corpusmill.operators import poisson_draws as B
 from corpusmill.operators import profiles as P
 from corpusmill.operators import stats as S
 from corpusmill.operators import tokens as K
@@ -233,7 +234,9 @@ select c_mktsegment, round(quantile_cont(r, 0.025), 6) as low, round(quantile_co
 def bootstrap_correlation(spark, sf_dir):
     """Intervals of a correlation by strata, from 2,000 draws."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
-    d = P.bootstrap(c, "c_custkey", ["c_mktsegment"], 2000, {"r": P.weighted_correlation("x", "y")}, "b1")
+    x, y = F.col("x"), F.col("y")
+    terms = {"n": F.lit(1), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    d = B.bootstrap_sums(c, "c_custkey", "c_mktsegment", 2000, terms, "b1").withColumn("r", B.correlation_of_sums())
     return P.percentile_interval(d, "r", "c_mktsegment").select("c_mktsegment", *_six("low", "high"))
 
 
