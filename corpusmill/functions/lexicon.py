@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from pyspark.sql.types import IntegerType
 
+from corpusmill.functions import near_words
+from corpusmill.streaming.ingest import work_dir
+
 #: Closed word classes; the first that holds a word names it.
 WORD_CLASSES = {
     "DET": "a an the this that these those my your his her its our their some any no every each",
@@ -102,39 +104,34 @@ def edit_cost(kind: Column, observed: Column, candidate: Column, distance: Colum
     return F.when(kind == "DEL", F.length(observed) + 1).when(kind == "INS", F.length(candidate) + 1).otherwise(distance)
 
 
-def deletions(word: Column) -> Column:
-    """The word and all forms with one or two characters left out."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    first = one(word)
-    return F.array_distinct(F.concat(F.array(word), first, F.flatten(F.transform(first, one))))
-
-
 def similar_words(counts: DataFrame, word: str, count: str, most: int = 8) -> DataFrame:
     """``word, other, distance, pick``: for each word the nearest others, by distance and then by frequency.
 
-    Words of more than three letters have partners up to distance 2, shorter ones 1. Candidates share a
-    form with so many letters left out on either side; a form that two words share is one key of the join.
-    Plain edit distance, and where that is too much for the reach the letters in order, settle most in the
-    JVM before pairs found by several keys are made one; the exact distance is taken where the letters
-    allow a swap.
+    Words of more than three letters have partners up to distance 2, shorter ones 1. Words are ranked by
+    frequency and go, packed, to tasks that each look at some of the forms by which words meet
+    (``near_words``); no pairs but each task's nearest are exchanged. A repeated word counts by its greatest
+    count; a null is none. Two forms of one hash would end the query, not change a row.
     """
-    reach = F.when(F.length(word) > 3, 2).otherwise(1)
-    letters = F.concat_ws("", F.array_sort(F.split(word, "")))
-    words = counts.select(F.col(word).alias("word"), F.col(count).alias("c"), reach.alias("reach"), letters.alias("letters"))
-    # rows are few before the explosion and many after the join, so the number of partitions is set, not chosen by size
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = words.repartition(parts, "word").withColumn("key", F.explode(deletions(F.col("word")))).withColumn("left_out", F.length("word") - F.length("key"))
-    keys = keys.repartition(parts, "key")
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, "key").where("greatest(a.left_out, b.left_out) <= a.reach and a.word <> b.word")
-    pairs = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("b.c").alias("c"), F.col("a.reach").alias("reach"), F.col("a.letters").alias("x"), F.col("b.letters").alias("y"))
-    # a swap is two plain edits: a lone swap lies at 2, a swap and an edit at 3 at most, two swaps at 4 at most, these with the same letters
-    pairs = pairs.withColumn("plain", F.levenshtein("word", "other", 4))
-    settled = (F.col("plain") == 1) | ((F.col("plain") == 2) & (F.col("x") != F.col("y")))
-    swap = ((F.col("plain") == 2) & (F.col("x") == F.col("y"))) | ((F.col("reach") == 2) & (((F.col("plain") == 4) & (F.col("x") == F.col("y"))) | ((F.col("plain") == 3) & (F.levenshtein("x", "y", 2) >= 0))))
-    pairs = pairs.where((settled & (F.col("plain") <= F.col("reach"))) | swap)
-    pairs = pairs.select("word", "other", "c", "reach", F.when(settled, F.col("plain")).alias("distance")).distinct()
-    exact = pairs.where("distance is null").withColumn("distance", osa(F.col("word"), F.col("other"))).where("distance <= reach")
-    near = pairs.where("distance is not null").unionByName(exact)
-    w = Window.partitionBy("word").orderBy("distance", F.desc("c"), "other")
-    return near.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most).select("word", "other", "distance", "pick")
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = counts.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.max(count).alias("c"))
+    path = work_dir(spark, "words")
+    words.orderBy(F.desc("c"), "word").select("word", F.monotonically_increasing_id().alias("at")).write.mode("overwrite").parquet(path)
+    ordered = spark.read.schema("word string, at long").parquet(path)
+    # ids are gapless within a partition, whose number stands above bit 33
+    sizes = {r.p: r.n for r in ordered.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(p, 0)
+    lengths = {r.k: r.n for r in ordered.groupBy(F.length("word").alias("k")).agg(F.count("*").alias("n")).collect()}
+    start = F.array(*[F.lit(x).cast("long") for x in starts or [0]])[F.shiftright("at", 33).cast("int")]
+    ranked = ordered.select("word", (start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    tasks, buckets = near_words.plan(lengths), max(1, -(-total // near_words.MERGED))
+    # rows are few and each is much work, so the number of partitions is set, not chosen by size
+    packed = ranked.mapInArrow(near_words.packer(tasks), "task long, length long, n long, words binary, ids binary").repartition(max(parts, len(tasks)), "task")
+    links = packed.groupBy("task").applyInArrow(near_words.linker(tasks, most, buckets), "bucket long, n long, links binary")
+    near = links.repartition(max(parts, buckets), "bucket").groupBy("bucket").applyInArrow(near_words.merger(most, buckets), "w long, o long, distance int, pick int")
+    named = near.join(ranked.select(F.col("rank").alias("o"), F.col("word").alias("other")), "o").join(ranked.select(F.col("rank").alias("w"), "word"), "w")
+    far = F.levenshtein("word", "other") > 2 * F.col("distance")
+    return named.select("word", "other", F.when(far, F.raise_error(F.lit("two forms have one hash")).cast("int")).otherwise(F.col("distance")).alias("distance"), "pick")
