@@ -33,6 +33,9 @@ MEMORY = 8
 #: Bins of scores from which the prior is read, from -SCORES to SCORES; share of the positives that a top must hold.
 BINS, SCORES, LEAST_TOP = 400, 20.0, 0.1
 
+#: Slices of a vector that is summed over tasks, and the most tasks that add them up.
+SLICES = 32
+
 BUCKETS = 1 << 14
 _LETTERS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0x80)
 _DIGITS, _UPPER, _SPACE = b"0123456789", bytes(range(0x41, 0x5B)), b" \t\n\r\v\f"
@@ -126,7 +129,11 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 
 
 def summed(table: DataFrame, part_of) -> np.ndarray:
-    """The sum over all rows of ``table`` of vectors that ``part_of(positive, rows, half)`` gives for each batch, in two levels of tasks."""
+    """The sum over all rows of ``table`` of vectors that ``part_of(positive, rows, half)`` gives for each batch, in two levels of tasks.
+
+    Each task cuts its vector into ``SLICES``, and each slice is added up over all tasks by itself, so the
+    driver gets one vector in all, and ends few tasks a pass, however many parts and shuffle partitions there are.
+    """
 
     def run(batches):
         total = None
@@ -138,16 +145,17 @@ def summed(table: DataFrame, part_of) -> np.ndarray:
                 total = found if total is None else total + found
         if total is not None:
             part = TaskContext.get().partitionId()
-            yield batch_of(("part", "salt", "sums"), (pa.int64(), pa.int64(), pa.binary()), ([part], [part % 32], [total.astype("<f8").tobytes()]))
+            cut = [x.tobytes() for x in np.array_split(total.astype("<f8"), min(SLICES, len(total)))]
+            yield batch_of(("part", "slice", "sums"), (pa.int64(), pa.int64(), pa.binary()), ([part] * len(cut), list(range(len(cut))), cut))
 
     def add(rows):
         order = np.argsort(rows["part"].to_numpy())
         total = np.sum([np.frombuffer(x, "<f8") for x in rows["sums"].take(pa.array(order)).to_pylist()], axis=0)
-        return pa.table({"salt": rows["salt"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slice": rows["slice"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    found = table.mapInArrow(run, "part long, salt long, sums binary").groupBy("salt").applyInArrow(add, "salt long, sums binary")
-    parts = sorted(found.collect(), key=lambda r: r.salt)
-    return np.sum([np.frombuffer(r.sums, "<f8") for r in parts], axis=0) if parts else np.zeros(0)
+    found = table.mapInArrow(run, "part long, slice long, sums binary").groupBy("slice").applyInArrow(add, "slice long, sums binary").coalesce(SLICES)
+    parts = sorted(found.collect(), key=lambda r: r.slice)
+    return np.concatenate([np.frombuffer(r.sums, "<f8") for r in parts]) if parts else np.zeros(0)
 
 
 def fit(risk, start: np.ndarray, passes: int) -> np.ndarray:
